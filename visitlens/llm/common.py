@@ -65,3 +65,18 @@ def text_key(text: Column) -> Column:
 def unit_interval(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the given columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def shield(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text", "source")):
+    """``docs`` with all other columns renamed out of the way, and a function that brings them back.
+
+    That function takes a frame and the names of columns added to it; these replace columns of the same name.
+    """
+    names: list[str] = []
+    for i, c in enumerate(docs.columns):
+        names.append(c if c in needed and c not in names else f"x{i}__")
+
+    def restore(df: DataFrame, *added: str) -> DataFrame:
+        return df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in added], *added)
+
+    return docs.toDF(*names), restore

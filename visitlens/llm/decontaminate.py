@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitlens.llm.common import shield
+
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to every executor; larger benchmarks take several passes.
 MAX_TEST_BYTES = 32 << 20
@@ -229,7 +231,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with their own columns."""
-    return find_matches(docs, benchmark).where("_n_hit = 0").select(*docs.columns)
+    safe, restore = shield(docs)
+    return restore(find_matches(safe, benchmark).where("_n_hit = 0"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.llm.common import Scratch, unit_interval, with_row_id
+from visitlens.llm.common import Scratch, shield, unit_interval, with_row_id
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -139,9 +139,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) ->
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
     """The mix itself: every document as often as ``mix`` says, with the columns of ``docs``."""
-    copies = mix(docs, weights, seed).where("copies > 0").select("rid", F.col("copies").alias("_copies"))
-    out = with_row_id(docs, "_rid").join(copies, F.col("_rid") == F.col("rid"))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    safe, restore = shield(docs)
+    copies = mix(safe, weights, seed).where("copies > 0").select("rid", "copies")
+    return restore(with_row_id(safe).join(copies, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from visitlens.llm.common import shield
+
 N_SLOTS = 8192
 ROW_OVERHEAD = 16
 MAP_SCHEMA = T.StructType(
@@ -134,11 +136,12 @@ def fit_map(docs: DataFrame, n_shards: int, n_slots: int = N_SLOTS, known: SlotM
 
 
 def assign(docs: DataFrame, slots: SlotMap) -> DataFrame:
-    """``docs`` with ``virtual_slot``, ``map_version`` and ``shard``.  Narrow: no record moves."""
-    spark = docs.sparkSession
-    lookup = spark.createDataFrame(list(enumerate(slots.current)), "virtual_slot int, shard int")
-    keyed = docs.withColumn("virtual_slot", virtual_slot(docs, len(slots.current)))
-    return keyed.join(F.broadcast(lookup), "virtual_slot").withColumn("map_version", F.lit(slots.version))
+    """``docs`` with ``virtual_slot``, ``map_version`` and ``shard``, which replace columns of these names.  No record moves."""
+    safe, restore = shield(docs)
+    lookup = docs.sparkSession.createDataFrame(list(enumerate(slots.current)), "virtual_slot int, shard int")
+    keyed = safe.withColumn("virtual_slot", virtual_slot(safe, len(slots.current)))
+    placed = keyed.join(F.broadcast(lookup), "virtual_slot").withColumn("map_version", F.lit(slots.version))
+    return restore(placed, "virtual_slot", "map_version", "shard")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, store: str | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitlens.llm.common import shield
+
 #: Bound of the sample of labelled rows that the classifier is fitted on; taken by a hash of doc_id.
 MAX_FIT_ROWS = 24_000
 #: Bound of the lexicon sent to executors: the tokens with the largest z-scores.
@@ -270,7 +272,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).where(F.col("_score") < 0.5).select(*docs.columns)
+    safe, restore = shield(docs)
+    return restore(score(safe, labels).where(F.col("_score") < 0.5))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
