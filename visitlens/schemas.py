@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "timestamp": T.TimestampType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Nullable columns from ``name type, name type``; needs no session."""
+    return T.StructType([T.StructField(name.strip("`"), _TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
 
 
 USER_VISIT_ACTION = _schema(
