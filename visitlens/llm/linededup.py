@@ -51,7 +51,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
     suffixes = suffix_ranks(lines, min_lines, scratch)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line")
-    intervals = suffixes.groupBy("rank").agg(F.min(place).alias("kept"))
+    # written first: a join of two plain tables can be split where an interval is hot
+    intervals = scratch.save(suffixes.groupBy("rank").agg(F.min(place).alias("kept")), "intervals")
     later = suffixes.join(intervals, "rank").where((F.col("kept.rid") != F.col("rid")) | (F.col("kept.line") != F.col("line"))).select("rid", "line")
     order = Window.partitionBy("rid").orderBy("line")
     gap = F.coalesce(F.col("line") > F.lag("line").over(order) + min_lines, F.lit(True)).cast("int")
