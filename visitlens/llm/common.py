@@ -52,6 +52,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows of one short key that are broadcast at most.
+FEW_KEYS = 1_000_000
+
+
+def if_few(keys: DataFrame, most: int = FEW_KEYS) -> DataFrame:
+    """``keys``, to be broadcast if they are counted and few; else a join moves both sides as usual."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def with_row_id(docs: DataFrame, name: str = "rid") -> DataFrame:
     """A row number fixed by the order of the input files, so that repeated doc_ids stay apart."""
     return docs.withColumn(name, F.monotonically_increasing_id())

@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitlens.llm.candidates import classes, colliding
-from visitlens.llm.common import Scratch, shield, with_row_id
+from visitlens.llm.common import Scratch, if_few, shield, with_row_id
 from visitlens.llm.shingles import SHINGLE, WORDS, mix64, shingle_numbers, word_list, word_numbers
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares one of 4 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
 BANDS, ROWS = 4, 2
-#: Words of a paragraph, and of a run of repeated paragraphs, at least.
-MIN_WORDS, MIN_RUN = 10, 18
+#: Words of a paragraph, and of a run of repeated paragraphs with what lies between them, at least.
+MIN_WORDS, MIN_RUN = 8, 30
 #: Words that are looked at together.
 CHUNK = 400_000
+#: Documents whose lists of wanted paragraphs are broadcast at most.
+FEW_PARTS = 200_000
 
 #: As in shingles, but ends of sentences and lines stay apart from other separators.
 _END = 31
@@ -47,16 +49,16 @@ def marked_words(text: str | None) -> list[bytes]:
 
 
 def _paragraphs(numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, starts, lengths, documents) of the paragraphs that are long enough; words without marks."""
+    """(words, starts, lengths, documents, places in them) of the paragraphs that are long enough; words without marks."""
     ends = numbers == np.uint64(WORDS[_MARK])
     part = np.cumsum(ends)[~ends]
     words, doc = numbers[~ends], doc[~ends]
     if not len(words):
-        return words, *(np.empty(0, dtype=np.int64),) * 3
+        return words, *(np.empty(0, dtype=np.int64),) * 4
     new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]))))
     lengths = np.diff(np.append(new, len(words)))
     long = lengths >= MIN_WORDS
-    return words, new[long], lengths[long], doc[new[long]]
+    return words, new[long], lengths[long], doc[new[long]], new[long] - np.searchsorted(doc, doc[new[long]])
 
 
 def _shingles_of(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +85,7 @@ def paragraph_bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, part (number among the document's long paragraphs), n_words, node (key of the words), bands."""
+    """rid, doc_id, part (number among the document's long paragraphs), first_word, n_words, node (key of the words), bands."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,26 +103,26 @@ def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     def work(held: list) -> pd.DataFrame:
         sizes = np.array([len(w) for _, _, w in held])
         numbers = np.concatenate([word_numbers(w) for _, _, w in held])
-        words, starts, lengths, doc = _paragraphs(numbers, np.repeat(np.arange(len(held)), sizes))
+        words, starts, lengths, doc, at = _paragraphs(numbers, np.repeat(np.arange(len(held)), sizes))
         key, found = paragraph_bands(words, starts, lengths, bands, rows)
         part = np.arange(len(doc)) - np.searchsorted(doc, doc)
         ids = pd.array([d for _, d, _ in held], dtype="Int64")
-        return pd.DataFrame({"rid": np.array([r for r, _, _ in held], dtype=np.int64)[doc], "doc_id": ids[doc], "part": part, "n_words": lengths, "node": key, "bands": list(found)})
+        return pd.DataFrame({"rid": np.array([r for r, _, _ in held], dtype=np.int64)[doc], "doc_id": ids[doc], "part": part, "first_word": at, "n_words": lengths, "node": key, "bands": list(found)})
 
     cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cols.mapInPandas(read, "rid long, doc_id long, part int, n_words int, node long, bands array<long>")
+    return cols.mapInPandas(read, "rid long, doc_id long, part int, first_word int, n_words int, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted paragraphs (rid, part, node)."""
-    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("part", "node")).alias("parts"))
+    per = if_few(wanted.groupBy("rid").agg(F.collect_list(F.struct("part", "node")).alias("parts")), FEW_PARTS)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             nodes, sets = [], []
             for text, parts in zip(batch["text"], batch["parts"], strict=True):
                 numbers = word_numbers([w for w in marked_words(text) if w])
-                words, starts, lengths, _ = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
+                words, starts, lengths, _, _ = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
                 for p in parts:
                     a, n = starts[p["part"]], lengths[p["part"]]
                     nodes.append(p["node"])
@@ -142,7 +144,7 @@ def verifier(sets: DataFrame, similarity: float):
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, min_run: int = MIN_RUN) -> DataFrame:
-    """A row for each paragraph of a repeated passage: rid, doc_id, part, n_words, class_id, class_size, first_doc_id, kept, passage, passage_words.
+    """A row for each paragraph of a repeated passage: rid, doc_id, part, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_words.
 
     ``docs`` has rid, doc_id and text.  ``passage`` numbers the runs of a document by their first paragraph.
     Paragraphs repeated within one document alone are left alone, as are null, empty and short texts.
@@ -153,20 +155,25 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     members = colliding(found.select("node", F.explode("bands").alias("band")), scratch)
     units = found.drop("bands")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "part")
-    nodes = scratch.save(units.groupBy("node").agg(F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n")), "nodes")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first.rid").alias("rid"), F.col("first.part").alias("part"), "node")
+    nodes = units.groupBy("node").agg(F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"))
+    # a paragraph that occurs once and shares no band has no class
+    nodes = nodes.join(members.select("node").distinct().withColumn("banded", F.lit(True)), "node", "left").where("n > 1 OR banded")
+    nodes = scratch.save(nodes, "nodes")
+    wanted = nodes.where("banded").select(F.col("first.rid").alias("rid"), F.col("first.part").alias("part"), "node")
     sets = scratch.save(shingle_sets(docs, wanted), "shingles")
-    label = classes(members, verifier(sets, similarity), scratch)
-    known = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    listed = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
+    label = classes(members, verifier(sets, similarity), lambda some: listed.join(some, "node", "left_semi"), similarity, scratch)
+    known = scratch.save(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
     per = known.groupBy("label").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("low <> high")
+    per = scratch.save(per, "per")
     several = scratch.save(known.select("node", "label").join(per, "label").select("node", F.col("label").alias("class_id"), "first", "class_size"), "classes")
     hits = units.join(several, "node")
     at = Window.partitionBy("rid").orderBy("part")
     runs = hits.withColumn("island", F.col("part") - F.row_number().over(at))
     island = Window.partitionBy("rid", "island")
-    runs = runs.withColumn("passage", F.min("part").over(island)).withColumn("passage_words", F.sum("n_words").over(island)).where(F.col("passage_words") >= min_run)
+    runs = runs.withColumn("passage", F.min("part").over(island)).withColumn("passage_words", (F.max(F.col("first_word") + F.col("n_words")).over(island) - F.min("first_word").over(island)).cast("long")).where(F.col("passage_words") >= min_run)
     kept = (F.col("first.rid") == F.col("rid")) & (F.col("first.part") == F.col("part"))
-    return runs.select("rid", "doc_id", "part", "n_words", "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_words")
+    return runs.select("rid", "doc_id", "part", "first_word", "n_words", "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_words")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:

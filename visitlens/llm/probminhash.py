@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.candidates import classes, colliding
-from visitlens.llm.common import Scratch, shield, with_row_id
-from visitlens.llm.shingles import mix64, probability_jaccard, shingle_numbers, weighted_shingles, word_list, word_numbers
+from visitlens.llm.common import Scratch, if_few, shield, with_row_id
+from visitlens.llm.shingles import jaccard, mix64, probability_jaccard, shingle_numbers, weighted_shingles, word_list, word_numbers
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares one of 20 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 20 > 0.99998.
 BANDS, ROWS = 20, 4
+#: Shingles that a verifying task remembers, since documents of a group come again and again.
+HELD_SHINGLES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PART = np.uint64(0xD1B54A32D192ED03)
 
@@ -81,6 +83,14 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(read, "rid long, doc_id long, key binary, bands array<long>")
 
 
+def alike(a: tuple, b: tuple, similarity: float) -> bool:
+    """Whether the probability Jaccard similarity of (shingles, weights, all weights are one) is large enough."""
+    if a[2] and b[2]:  # plain Jaccard, at most the ratio of the sizes
+        few, many = sorted((len(a[0]), len(b[0])))
+        return few >= similarity * many and jaccard(a[0], b[0]) >= similarity
+    return probability_jaccard(a[:2], b[:2]) >= similarity
+
+
 def verifier(texts: DataFrame, similarity: float):
     """Keeps the pairs whose texts have at least this probability Jaccard similarity."""
 
@@ -90,14 +100,23 @@ def verifier(texts: DataFrame, similarity: float):
 
         def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[int, tuple] = {}
+            room = HELD_SHINGLES
+
+            def shingles(node: int, text: str) -> tuple:
+                nonlocal room
+                if node not in held:
+                    keys, weights = weighted_shingles(text)
+                    if room < len(keys):
+                        held.clear()
+                        room = HELD_SHINGLES
+                    room -= len(keys)
+                    held[node] = (keys, weights, len(keys) == int(weights.sum()))
+                return held[node]
+
             for batch in batches:
                 out = []
                 for u, v, a, b in zip(batch["u"], batch["v"], batch["text_u"], batch["text_v"], strict=True):
-                    if v not in held:  # centres come again and again
-                        if len(held) >= 256:
-                            held.clear()
-                        held[v] = weighted_shingles(b)
-                    if probability_jaccard(weighted_shingles(a), held[v]) >= similarity:
+                    if alike(shingles(u, a), shingles(v, b), similarity):
                         out.append((u, v))
                 yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
@@ -106,6 +125,20 @@ def verifier(texts: DataFrame, similarity: float):
     return verify
 
 
+def list_shingles(texts: DataFrame) -> DataFrame:
+    """(node, shingle, weight) of texts (node, text)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                some = batch.iloc[at : at + 100]
+                found = [weighted_shingles(t) for t in some["text"]]
+                nodes = np.repeat(some["node"].to_numpy(), [len(k) for k, _ in found])
+                yield pd.DataFrame({"node": nodes, "shingle": np.concatenate([k for k, _ in found]).view(np.int64), "weight": np.concatenate([w for _, w in found])})
+
+    return texts.select("node", "text").mapInPandas(read, "node long, shingle long, weight long")
+
+
 def classify(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """rid, doc_id, class_id, class_size, kept for every document; ``docs`` has rid, doc_id and text.
 
@@ -121,12 +154,12 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     nodes = signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct(order.alias("o"), "bands")).alias("f"), F.count("*").alias("n"))
     nodes = scratch.save(nodes.select("key", F.col("f.o.rid").alias("node"), F.col("f.o.doc_id").alias("doc_id"), "n", F.col("f.bands").alias("bands")), "nodes")
     members = colliding(nodes.select("node", F.explode("bands").alias("band")), scratch)
-    wanted = members.select(F.col("node").alias("rid")).distinct()
+    wanted = if_few(members.select(F.col("node").alias("rid")).distinct())
     texts = scratch.save(docs.select("rid", "text").join(wanted, "rid", "left_semi").select(F.col("rid").alias("node"), "text"), "texts")
-    label = classes(members, verifier(texts, similarity), scratch)
-    known = nodes.join(label, "node", "left").select("key", "node", "doc_id", "n", F.coalesce("label", "node").alias("label"))
+    label = classes(members, verifier(texts, similarity), lambda some: list_shingles(texts.join(some, "node", "left_semi")), similarity, scratch)
+    known = scratch.save(nodes.join(label, "node", "left").select("key", "node", "doc_id", "n", F.coalesce("label", "node").alias("label")), "known")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    per = known.groupBy("label").agg(F.min(least).alias("first"), F.sum("n").alias("class_size"))
+    per = scratch.save(known.groupBy("label").agg(F.min(least).alias("first"), F.sum("n").alias("class_size")), "per")
     named = known.join(per, "label").select("key", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("first_rid"), "class_size")
     named = scratch.save(named, "named")
     copies = signed.select("rid", "doc_id", "key").where(F.col("key").isNotNull()).join(named, "key")
@@ -138,7 +171,8 @@ def remove_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
     safe, restore = shield(docs)
     numbered = with_row_id(safe)
-    return restore(numbered.join(classify(numbered.select("rid", "doc_id", "text")).where("kept").select("rid"), "rid", "left_semi"))
+    others = Scratch(docs.sparkSession, "others").save(classify(numbered.select("rid", "doc_id", "text")).where("NOT kept").select("rid"), "others")
+    return restore(numbered.join(if_few(others), "rid", "left_anti"))
 
 
 def report(docs: DataFrame) -> DataFrame:
