@@ -169,3 +169,22 @@ def test_cut_keeps_the_rest():
     text = "One two three four five six seven eight nine ten. Short. " + "A b c d e f g h i j k!\nEnd"
     assert _cut(text, set()) == text
     assert _cut(text, {1}) == "One two three four five six seven eight nine ten. Short.\nEnd"
+
+
+def test_passage_of_short_sentences(make_docs):
+    """A passage of short pieces in different hosts, and a copied text without a single long sentence."""
+    rng = random.Random(11)
+    host = [" ".join(sentence(rng, 14) for _ in range(3)) for _ in range(4)]
+    passage = " ".join(sentence(rng, rng.randrange(2, 8)) for _ in range(20))
+    whole = "\n".join(" ".join(text_of(rng, rng.randrange(1, 8))) for _ in range(30))
+    ahead, behind = sentence(rng, 5), sentence(rng, 3)
+    texts = [host[0] + " " + passage + " " + host[1], ahead + " " + passage + " " + behind + " " + host[2], whole, whole, host[3], "Too short. " * 2]
+    docs = make_docs(texts)
+    got = repeated(with_row_id(docs.select("doc_id", "text"))).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3}
+    words = {i: word_list(t) for i, t in enumerate(texts)}
+    for i, want in ((0, passage), (1, passage), (2, whole), (3, whole)):
+        assert {tuple(words[i][r.passage_first_word : r.passage_first_word + r.passage_words]) for r in got if r.doc_id == i} == {tuple(word_list(want))}
+    out = {r.doc_id: r.text for r in remove_passages(docs).collect()}
+    assert [out[i] for i in (0, 2, 4, 5)] == [texts[i] for i in (0, 2, 4, 5)]
+    assert word_list(out[1]) == word_list(" ".join((ahead, behind, host[2]))) and not word_list(out[3])

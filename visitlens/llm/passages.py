@@ -1,15 +1,18 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a stretch of text up to a sentence end or a line end, of at least MIN_WORDS words, so the
-paragraphs of a passage are the same wherever it is pasted.  Paragraphs that share a band are verified
-by the exact Jaccard similarity of their five-word shingles and joined into classes.  Runs of paragraphs
-whose classes lie in several documents are repeated passages, if long enough together; in every class
-the first paragraph is kept and the others are removed.
+A paragraph is a stretch of text up to a sentence end or a line end, of at least MIN_WORDS words.  Shorter
+pieces are merged: of any PIECES in a row, the one with the least hash starts a paragraph of as many whole
+pieces as MIN_WORDS take.  So the paragraphs of a passage are the same wherever it is pasted.  Paragraphs
+that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
+classes.  Runs of paragraphs whose classes lie in several documents are followed word by word into the
+paragraphs beside them, as far as another document has the same words there.  They are repeated passages, if
+long enough then; in every class the first paragraph is kept and the others are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,13 +22,15 @@ from pyspark.sql.window import Window
 
 from visitlens.llm.candidates import classes, colliding
 from visitlens.llm.common import Scratch, if_few, shield, with_row_id
-from visitlens.llm.shingles import SHINGLE, WORDS, mix64, shingle_numbers, word_list, word_numbers
+from visitlens.llm.shingles import SHINGLE, WORDS, mix64, shingle_numbers, word_numbers
 
 SIMILARITY = 0.8
 #: A pair at the threshold shares one of 4 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
 BANDS, ROWS = 4, 2
 #: Words of a paragraph, and of a run of repeated paragraphs with what lies between them, at least.
 MIN_WORDS, MIN_RUN = 8, 30
+#: Short pieces in a row of which one starts a paragraph.
+PIECES = 4
 #: Words that are looked at together.
 CHUNK = 400_000
 #: Documents whose lists of wanted paragraphs are broadcast at most.
@@ -48,17 +53,64 @@ def marked_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(_MARK, b" \x1f ").split(b" ") if text else []
 
 
-def _paragraphs(numbers: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, starts, lengths, documents, places in them) of the paragraphs that are long enough; words without marks."""
+class Paragraphs(NamedTuple):
+    """Words without marks, and the paragraphs in them by document and place.
+
+    ``part`` numbers the long sentences of a document and then its merged ones; ``before`` counts the long sentences ahead.
+    """
+
+    words: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    doc: np.ndarray
+    first_word: np.ndarray
+    part: np.ndarray
+    long: np.ndarray
+    before: np.ndarray
+
+
+def _paragraphs(numbers: np.ndarray, doc: np.ndarray) -> Paragraphs:
     ends = numbers == np.uint64(WORDS[_MARK])
-    part = np.cumsum(ends)[~ends]
+    piece = np.cumsum(ends)[~ends]
     words, doc = numbers[~ends], doc[~ends]
     if not len(words):
-        return words, *(np.empty(0, dtype=np.int64),) * 4
-    new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]))))
-    lengths = np.diff(np.append(new, len(words)))
+        none = np.empty(0, dtype=np.int64)
+        return Paragraphs(words, none, none, none, none, none, none.astype(bool), none)
+    at = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))))
+    lengths = np.diff(np.append(at, len(words)))
     long = lengths >= MIN_WORDS
-    return words, new[long], lengths[long], doc[new[long]], new[long] - np.searchsorted(doc, doc[new[long]])
+    merged, merged_lengths = _merged(words, at, lengths, long, doc[at])
+    starts = np.concatenate((at[long], merged))
+    order = np.argsort(starts, kind="stable")
+    starts, lengths, is_long = starts[order], np.concatenate((lengths[long], merged_lengths))[order], (np.arange(len(starts)) < long.sum())[order]
+    doc_of = doc[starts]
+    head = np.searchsorted(doc_of, doc_of)
+    n_long = np.concatenate(([0], np.cumsum(is_long)))
+    before = n_long[:-1] - n_long[head]
+    all_long = n_long[np.searchsorted(doc_of, doc_of, side="right")] - n_long[head]
+    part = np.where(is_long, before, all_long + np.arange(len(starts)) - head - before)
+    return Paragraphs(words, starts, lengths, doc_of, starts - np.searchsorted(doc, doc_of), part, is_long, before)
+
+
+def _merged(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, long: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of paragraphs made of the short pieces between long ones."""
+    stops = np.flatnonzero(long | np.concatenate(([False], doc[1:] != doc[:-1])))
+    run = np.searchsorted(stops, np.arange(len(at)), side="right")
+    run_end = np.append(at[stops], len(words))[run]
+    able = np.flatnonzero(~long & (run_end - at >= MIN_WORDS))
+    if not len(able):
+        return (np.empty(0, dtype=np.int64),) * 2
+    place = np.arange(len(words)) - np.repeat(at, lengths)
+    hashes = mix64(np.add.reduceat(mix64(words + place.astype(np.uint64) * _STEP), at))[able]
+    run = run[able]
+    # the least of each PIECES in a row, or of all where a run has fewer
+    rows = np.arange(len(able))[:, None] + np.arange(PIECES)
+    inside = rows < np.searchsorted(run, run, side="right")[:, None]
+    seen = np.where(inside, hashes[np.minimum(rows, len(able) - 1)], ~np.uint64(0))
+    whole = inside[:, -1] | (np.searchsorted(run, run) == np.arange(len(able)))
+    chosen = able[np.unique((np.arange(len(able)) + np.argmin(seen, axis=1))[whole])]
+    ends = at + lengths
+    return at[chosen], ends[np.searchsorted(ends, at[chosen] + MIN_WORDS)] - at[chosen]
 
 
 def _shingles_of(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,32 +137,37 @@ def paragraph_bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, part (number among the document's long paragraphs), first_word, n_words, node (key of the words), bands."""
+    """rid, doc_id, seq (number among the document's paragraphs), part, long, before, first_word, n_words, node (key of the words), bands."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held: list[tuple[int, int, list[bytes]]] = []
-            n = 0
-            for rid, doc_id, text in zip(batch["rid"], batch["doc_id"], batch["text"], strict=True):
-                held.append((rid, doc_id, [w for w in marked_words(text) if w]))
-                n += len(held[-1][2])
-                if n >= CHUNK:
-                    yield work(held)
-                    held, n = [], 0
-            if held:
-                yield work(held)
-
-    def work(held: list) -> pd.DataFrame:
-        sizes = np.array([len(w) for _, _, w in held])
-        numbers = np.concatenate([word_numbers(w) for _, _, w in held])
-        words, starts, lengths, doc, at = _paragraphs(numbers, np.repeat(np.arange(len(held)), sizes))
-        key, found = paragraph_bands(words, starts, lengths, bands, rows)
-        part = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        ids = pd.array([d for _, d, _ in held], dtype="Int64")
-        return pd.DataFrame({"rid": np.array([r for r, _, _ in held], dtype=np.int64)[doc], "doc_id": ids[doc], "part": part, "first_word": at, "n_words": lengths, "node": key, "bands": list(found)})
+            for held, found in _chunks(batch):
+                yield work(held, found)
+
+    def work(held: pd.DataFrame, p: Paragraphs) -> pd.DataFrame:
+        key, found = paragraph_bands(p.words, p.starts, p.lengths, bands, rows)
+        seq = np.arange(len(p.doc)) - np.searchsorted(p.doc, p.doc)
+        ids = pd.array(held["doc_id"], dtype="Int64")
+        return pd.DataFrame(
+            {"rid": held["rid"].to_numpy(np.int64)[p.doc], "doc_id": ids[p.doc], "seq": seq, "part": p.part, "long": p.long, "before": p.before, "first_word": p.first_word, "n_words": p.lengths, "node": key, "bands": list(found)}
+        )
 
     cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cols.mapInPandas(read, "rid long, doc_id long, part int, first_word int, n_words int, node long, bands array<long>")
+    return cols.mapInPandas(read, "rid long, doc_id long, seq int, part int, long boolean, before int, first_word int, n_words int, node long, bands array<long>")
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Paragraphs]]:
+    """Slices of a batch of documents, each with its paragraphs."""
+    held: list[np.ndarray] = []
+    n = first = 0
+    for i, text in enumerate(batch["text"]):
+        held.append(word_numbers([w for w in marked_words(text) if w]))
+        n += len(held[-1])
+        if n >= CHUNK or i + 1 == len(batch):
+            mark = np.uint64(WORDS[_MARK])
+            sizes = [int((x != mark).sum()) for x in held]
+            yield batch.iloc[first : i + 1].assign(size=sizes), _paragraphs(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]))
+            held, n, first = [], 0, i + 1
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -122,11 +179,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             nodes, sets = [], []
             for text, parts in zip(batch["text"], batch["parts"], strict=True):
                 numbers = word_numbers([w for w in marked_words(text) if w])
-                words, starts, lengths, _, _ = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
+                found = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
+                by_part = np.argsort(found.part)
                 for p in parts:
-                    a, n = starts[p["part"]], lengths[p["part"]]
+                    a, n = found.starts[by_part[p["part"]]], found.lengths[by_part[p["part"]]]
                     nodes.append(p["node"])
-                    sets.append(np.unique(shingle_numbers(words[a : a + n])).view(np.int64))
+                    sets.append(np.unique(shingle_numbers(found.words[a : a + n])).view(np.int64))
             yield pd.DataFrame({"node": pd.array(nodes, dtype="int64"), "shingles": sets})
 
     return docs.select("rid", "text").join(per, "rid").select("text", "parts").mapInPandas(read, "node long, shingles array<long>")
@@ -144,7 +202,7 @@ def verifier(sets: DataFrame, similarity: float):
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, min_run: int = MIN_RUN) -> DataFrame:
-    """A row for each paragraph of a repeated passage: rid, doc_id, part, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_words.
+    """A row for each paragraph of a repeated passage: rid, doc_id, part, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_words, passage_first_word.
 
     ``docs`` has rid, doc_id and text.  ``passage`` numbers the runs of a document by their first paragraph.
     Paragraphs repeated within one document alone are left alone, as are null, empty and short texts.
@@ -168,43 +226,135 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     per = scratch.save(per, "per")
     several = scratch.save(known.select("node", "label").join(per, "label").select("node", F.col("label").alias("class_id"), "first", "class_size"), "classes")
     hits = units.join(several, "node")
-    at = Window.partitionBy("rid").orderBy("part")
-    runs = hits.withColumn("island", F.col("part") - F.row_number().over(at))
-    island = Window.partitionBy("rid", "island")
-    runs = runs.withColumn("passage", F.min("part").over(island)).withColumn("passage_words", (F.max(F.col("first_word") + F.col("n_words")).over(island) - F.min("first_word").over(island)).cast("long")).where(F.col("passage_words") >= min_run)
+    at = Window.partitionBy("rid").orderBy("seq")
+    own = F.when(F.col("long"), F.col("before"))
+    ahead, behind = F.last(own, True).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.first(own, True).over(at.rowsBetween(0, Window.unboundedFollowing))
+    # neighbours, or with nothing but short pieces between two long sentences that are hit
+    linked = (F.col("seq") == F.lag("seq").over(at) + 1) | ((F.col("before") == ahead + 1) & (F.col("before") == behind))
+    runs = hits.withColumn("new", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(at)).drop("new")
+    runs = scratch.save(runs, "runs")
+    end = F.col("first_word") + F.col("n_words")
+    islands = scratch.save(runs.groupBy("rid", "island").agg(F.min("first_word").alias("start"), F.max(end).alias("end"), F.min("part").alias("passage")), "islands")
+    within = Window.partitionBy("rid", "island").orderBy("seq")
+    sides = runs.withColumn("next", F.lead("first_word").over(within)).withColumn("last", F.lag("seq").over(within)).withColumn("end", end)
+    open_left = F.when(F.col("last").isNull(), F.struct(F.lit(0).alias("side"), F.col("first_word").alias("at"), F.lit(-1).alias("stop")))
+    open_right = F.when(F.col("next").isNull(), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), F.lit(-1).alias("stop")))
+    gap = F.when(F.col("next") > F.col("end"), F.struct(F.lit(2).alias("side"), F.col("end").alias("at"), F.col("next").alias("stop")))
+    edges = sides.select("rid", "island", "class_id", F.explode(F.array_compact(F.array(open_left, open_right, gap))).alias("e")).select("rid", "island", "class_id", "e.*")
+    grown = extensions(docs, edges, scratch).groupBy("rid", "island").agg(
+        F.max(F.when(F.col("side") == 0, F.col("n"))).alias("ahead"),
+        F.max(F.when(F.col("side") == 1, F.col("n"))).alias("behind"),
+        F.collect_list(
+            F.when(F.col("cut") > 0, F.struct(F.when(F.col("side") == 0, F.col("at") - F.col("cut")).otherwise(F.col("at")).alias("a"), F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("cut")).alias("b")))
+        ).alias("beside"),
+    )
+    ahead, behind = F.coalesce("ahead", F.lit(0)), F.coalesce("behind", F.lit(0))
+    grown = islands.join(grown, ["rid", "island"], "left").withColumn("passage_words", (F.col("end") - F.col("start") + ahead + behind).cast("long")).where(F.col("passage_words") >= min_run)
+    grown = grown.select("rid", "island", "passage", "passage_words", (F.col("start") - ahead).cast("int").alias("passage_first_word"), "beside")
     kept = (F.col("first.rid") == F.col("rid")) & (F.col("first.part") == F.col("part"))
-    return runs.select("rid", "doc_id", "part", "first_word", "n_words", "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_words")
+    found = runs.join(grown, ["rid", "island"])
+    return found.select(
+        "rid", "doc_id", "part", "long", "first_word", "n_words", "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_words", "passage_first_word", "beside"
+    )
+
+
+def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, island, side, at, n, cut) of edges (rid, island, class_id, side, at, stop): how many words from there on another document has beside the same class, and an earlier one.
+
+    Side 0 goes back, the others forward, up to ``stop`` or, where that is -1, through the next paragraph: if all
+    of that were the same, it would be in the island.
+    """
+    per = if_few(edges.groupBy("rid").agg(F.collect_list(F.struct("island", "side", "at", "stop", "class_id")).alias("edges")), FEW_PARTS)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for held, p in _chunks(batch):
+                yield work(held, p)
+
+    def work(held: pd.DataFrame, p: Paragraphs) -> pd.DataFrame:
+        doc = np.repeat(np.arange(len(held)), [len(x) for x in held["edges"]])
+        flat = [x for per_doc in held["edges"] for x in per_doc]
+        island, side, at, stop, label = (np.array([x[k] for x in flat], dtype=np.int64) for k in ("island", "side", "at", "stop", "class_id"))
+        # every document here has a paragraph, and with it its first and last word
+        base = (p.starts - p.first_word)[np.searchsorted(p.doc, doc)]
+        size = np.array(held["size"], dtype=np.int64)[doc]
+        origin, ends = base + at, p.starts + p.lengths
+        i = np.searchsorted(p.starts, origin) - 1
+        back = origin - np.maximum(np.where(i >= 0, p.starts[i], 0), base)
+        onward = np.minimum(np.append(ends, len(p.words))[np.searchsorted(ends, origin, side="right")], base + size) - origin
+        counts = np.where(side == 0, back, np.where(stop < 0, onward, stop - at))
+        origin, step = np.where(side == 0, origin - 1, origin), np.where(side == 0, -1, 1)
+        seed = mix64(label.view(np.uint64) + np.minimum(side, 1).astype(np.uint64))
+        first = np.cumsum(counts) - counts
+        place = np.arange(int(counts.sum())) - np.repeat(first, counts)
+        sums = np.cumsum(mix64(p.words[np.repeat(origin, counts) + np.repeat(step, counts) * place] + (place + 1).astype(np.uint64) * _STEP), dtype=np.uint64)
+        keys = mix64((sums - np.repeat(np.append(np.uint64(0), sums)[first], counts)) ^ np.repeat(seed, counts)).view(np.int64)
+        ids = pd.array(held["doc_id"], dtype="Int64")
+        out = pd.DataFrame({"rid": held["rid"].to_numpy(np.int64)[doc], "doc_id": ids[doc], "island": island, "side": side, "at": at, "keys": np.split(keys, first[1:])})
+        return out[counts > 0]
+
+    cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "rid").select("rid", "doc_id", "text", "edges")
+    beside = scratch.save(cols.mapInPandas(read, "rid long, doc_id long, island long, side int, at int, keys array<long>"), "beside")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+
+    def shared(keys: DataFrame, name: str) -> DataFrame:
+        several = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(place).alias("first")).where("low <> high")
+        return scratch.save(several.select("key", F.col("first.rid").alias("first_rid")), name)
+
+    # most end at the first word
+    one = shared(beside.select("rid", "doc_id", F.col("keys")[0].alias("key")), "one")
+    some = scratch.save(beside.withColumn("key", F.col("keys")[0]).join(one.select("key"), "key").select("rid", "doc_id", "island", "side", "at", F.posexplode("keys").alias("n", "key")), "some")
+    met = some.join(shared(some, "shared"), "key").withColumn("n", F.col("n") + 1)
+    earlier = F.when(F.col("first_rid") != F.col("rid"), F.col("n")).otherwise(0)
+    return met.groupBy("rid", "island", "side", "at").agg(F.max("n").alias("n"), F.max(earlier).alias("cut"))
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the later copies of repeated passages; documents that lose nothing keep their text as it is."""
     safe, restore = shield(docs)
     numbered = with_row_id(safe)
-    gone = repeated(numbered.select("rid", "doc_id", "text")).where("NOT kept").groupBy("rid").agg(F.collect_list("part").alias("gone"))
+    found = repeated(numbered.select("rid", "doc_id", "text"))
+    span = F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words")).alias("b"))
+    gone = found.groupBy("rid").agg(
+        F.collect_list(F.when(~F.col("kept"), F.col("part"))).alias("gone"), F.collect_list(F.when(F.col("kept"), span)).alias("stay"), F.flatten(F.collect_set("beside")).alias("beside")
+    )
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([t if p is None or t is None else _cut(t, {int(x) for x in p}) for t, p in zip(texts, parts, strict=True)], dtype=object)
+    def cut(texts: pd.Series, parts: pd.Series, stay: pd.Series, beside: pd.Series) -> pd.Series:
+        spans = [([(x["a"], x["b"]) for x in s], [(x["a"], x["b"]) for x in e]) if s is not None else ((), ()) for s, e in zip(stay, beside, strict=True)]
+        return pd.Series([t if p is None or t is None else _cut(t, {int(x) for x in p}, *s) for t, p, s in zip(texts, parts, spans, strict=True)], dtype=object)
 
-    return restore(numbered.join(gone, "rid", "left").withColumn("text", cut("text", "gone")))
+    return restore(numbered.join(gone, "rid", "left").withColumn("text", cut("text", "gone", "stay", "beside")))
 
 
-def _cut(text: str, gone: set[int]) -> str:
+def _cut(text: str, gone: set[int], stay: Sequence[tuple[int, int]] = (), beside: Sequence[tuple[int, int]] = ()) -> str:
+    """``text`` without the parts ``gone`` and the words in ``beside``, but with those in ``stay``; what follows a word goes with it."""
     raw = text.encode("utf-8", "surrogatepass")
-    out, at, part = [], 0, 0
-    marks = raw.translate(_FOLD)
-    while at < len(raw):
-        end = marks.find(_MARK, at)
-        end = len(raw) if end < 0 else end + 1
-        if len(word_list(raw[at:end].decode("utf-8", "surrogatepass"))) >= MIN_WORDS:
-            if part not in gone:
-                out.append(raw[at:end])
-            part += 1
-        else:
-            out.append(raw[at:end])
-        at = end
-    return b"".join(out).decode("utf-8", "surrogatepass")
+    folded = np.frombuffer(raw.translate(_FOLD), dtype=np.uint8)
+    numbers = word_numbers([w for w in marked_words(text) if w])
+    found = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
+    drop = np.zeros(len(found.words), dtype=bool)
+    for a, n, part in zip(found.starts, found.lengths, found.part, strict=True):
+        drop[a : a + n] |= int(part) in gone
+    for a, b in beside:
+        drop[a:b] = True
+    for a, b in stay:
+        drop[a:b] = False
+    end, inside = folded == _END, (folded != 32) & (folded != _END)
+    begins = np.diff(inside.astype(np.int8), prepend=np.int8(0)) == 1
+    piece = np.cumsum(end) - end
+    of_word = np.append(piece[begins], -1)
+    word = np.cumsum(begins) - 1
+    # what leads up to a piece belongs to its first word
+    owner = np.where(of_word[word] == piece, word, np.where(of_word[word + 1] == piece, word + 1, -1))
+    keep = np.ones(len(raw), dtype=bool)
+    known = owner >= 0
+    keep[known] = ~drop[owner[known]]
+    return np.frombuffer(raw, dtype=np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return repeated(with_row_id(docs.select("doc_id", "text"))).drop("rid")
+    """The long sentences of each repeated passage; of a passage without any, its merged paragraphs."""
+    found = repeated(with_row_id(docs.select("doc_id", "text")))
+    found = found.withColumn("any_long", F.max("long").over(Window.partitionBy("rid", "passage"))).where("long OR NOT any_long")
+    return found.drop("rid", "long", "any_long", "beside")
