@@ -188,3 +188,16 @@ def test_passage_of_short_sentences(make_docs):
     out = {r.doc_id: r.text for r in remove_passages(docs).collect()}
     assert [out[i] for i in (0, 2, 4, 5)] == [texts[i] for i in (0, 2, 4, 5)]
     assert word_list(out[1]) == word_list(" ".join((ahead, behind, host[2]))) and not word_list(out[3])
+
+
+def test_passages_with_broken_ends(make_docs):
+    """51 words of which one sentence of 8 is whole, and 24 words, too few, of which one of 12 is."""
+    rng = random.Random(13)
+    passage = " ".join((sentence(rng, 20), sentence(rng, 8), " ".join(text_of(rng, 23))))
+    few = " ".join((sentence(rng, 6), sentence(rng, 12), " ".join(text_of(rng, 6))))
+    texts = [" ".join((" ".join(text_of(rng, 10)), x, sentence(rng, 12))) for x in (passage, passage, few, few)]
+    docs = make_docs(texts)
+    got = repeated(with_row_id(docs.select("doc_id", "text"))).collect()
+    assert {(r.doc_id, r.passage_first_word, r.passage_words) for r in got} == {(0, 10, 51), (1, 10, 51)}
+    out = {r.doc_id: r.text for r in remove_passages(docs).collect()}
+    assert [out[i] for i in (0, 2, 3)] == [texts[i] for i in (0, 2, 3)] and word_list(out[1]) == word_list(texts[1])[:10] + word_list(texts[1])[61:]
