@@ -25,8 +25,8 @@ from visitlens.llm.common import Scratch, if_few, shield, with_row_id
 from visitlens.llm.shingles import SHINGLE, WORDS, mix64, shingle_numbers, word_numbers
 
 SIMILARITY = 0.8
-#: A pair at the threshold shares one of 4 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 4 = 0.983.
-BANDS, ROWS = 4, 2
+#: A pair at the threshold shares one of 8 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
+BANDS, ROWS = 8, 2
 #: Words of a paragraph, and of a run of repeated paragraphs with what lies between them, at least.
 MIN_WORDS, MIN_RUN = 8, 30
 #: Short pieces in a row of which one starts a paragraph.
