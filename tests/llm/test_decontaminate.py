@@ -69,3 +69,12 @@ def test_shard_is_brute_force(texts, items, window):
     for i in range(len(texts)):
         assert (n[i], hit[i], len(found[i]), decontaminate.item_digest(list(found[i]))) == want[i][:4]
         assert sum(k for _, k in spans[i]) == hit[i]
+
+
+def test_matches_do_not_depend_on_passes(spark, make_docs):
+    """Windows of different items that touch are one match, however many passes find them."""
+    w = [f"w{i}" for i in range(60)]
+    docs = make_docs([" ".join(w), " ".join(w[:10] + w[30:40]), " ".join(w[:20] + ["x"] + w[20:])])
+    bench = spark.createDataFrame([(i, " ".join(w[10 * i : 10 * i + 10])) for i in range(6)], "item_id long, text string")
+    one, many = ({r.doc_id: [tuple(m) for m in r["_matches"]] for r in find_matches(docs, bench, max_test_bytes=n).collect()} for n in (decontaminate.MAX_TEST_BYTES, 40))
+    assert one == many == {0: [(0, 60)], 1: [(0, 20)], 2: [(0, 20), (21, 40)]}

@@ -4,7 +4,8 @@ A shard is a batch of documents.  Its words are numbered by the benchmark's voca
 array is built, by prefix doubling, over the positions from which a benchmark window could start: a
 word that no benchmark text has ends every match, so all other suffixes can be left out without loss.
 Every test suffix is then binary-searched in the array of every shard; its range gives all places of
-the verbatim match, which is followed to its full length.  Nothing is shuffled.
+a window.  Matches are the unions of such windows of WINDOW words, where they overlap or touch, whatever their
+items are.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def search(ids: np.ndarray, array: np.ndarray, test: TestSet) -> tuple[np.ndarra
 
 
 def search_shard(docs: list[list[bytes]], test: TestSet) -> tuple[np.ndarray, np.ndarray, list[set], list[list[tuple[int, int]]]]:
-    """Words, hit words, items and longest matches (first word, words) of each document of a shard."""
+    """Words, hit words, items and unions of hit windows (first word, words) of each document of a shard."""
     counts = np.array([len(d) for d in docs], dtype=np.int64)
     items: list[set] = [set() for _ in docs]
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
@@ -171,7 +172,7 @@ def _read_test_sets(benchmark: DataFrame, window: int, most: int) -> list[TestSe
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_test_bytes: int = MAX_TEST_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_hit``, ``_hit_items`` and ``_matches``: the verbatim matches of each document.
+    """``docs`` with ``_n_words``, ``_n_hit``, ``_hit_items`` and ``_matches``: the unions of the windows hit in each document.
 
     Null and empty texts have no words and no hits; a null or empty item has no window; items alike count
     each.  Repeated documents are searched each.  Matches never cross documents.  An empty benchmark
@@ -222,7 +223,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, n in sorted(spans):
-        if out and a < out[-1][0] + out[-1][1]:
+        if out and a <= out[-1][0] + out[-1][1]:
             out[-1][1] = max(out[-1][1], a + n - out[-1][0])
         else:
             out.append([a, n])
