@@ -19,8 +19,13 @@ def make_docs(spark):
     return make
 
 
-#: Extra columns whose names the operators use inside.
-CLASHES = {"rid": 1, "node": 2, "shard": 3, "label": 4, "size": 5, "score": 6.0, "virtual_slot": 7, "rank": 8, "n": 9, "_score": 1.5, "runs": "x", "copies": 2, "h": 1, "band": 5}
+#: Extra columns whose names the operators use inside, or add.
+CLASHES = {
+    **dict.fromkeys(["rid", "node", "shard", "label", "size", "virtual_slot", "rank", "n", "copies", "h", "band", "map_version", "copy", "sub", "line", "pos", "n_removed"], 1),
+    **dict.fromkeys(["rule", "verdict", "host", "path", "found", "file__", "row_index__", "row__", "k1__", "stack", "plain", "runs", "passage", "cuts", "scores", "kept", "class_id"], "x"),
+    **dict.fromkeys(["_licence", "_digest", "_n_words", "_contained", "_n_hit", "_hit_items", "_matches", "_spans", "_passages", "_metadata", "x0__"], "y"),
+    **dict.fromkeys(["score", "_score"], 1.5),
+}
 
 
 @pytest.fixture(scope="session")

@@ -42,3 +42,32 @@ def test_stages(spark, data, tmp_path):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_odd_rows(spark, make_docs, clashes, tmp_path):
+    """Null, empty, very long, repeated rows and clashing columns go through all stages; an empty table, too."""
+    folder = f"file://{tmp_path}"
+    words = [f"w{i}" for i in range(40)]
+    texts = [None, "", "...", "a b c", "a b c", " ".join(words), "x y z " * 50_000, "A b C!", None] + [f"text number {i} of some words {i * i}" for i in range(30)]
+    docs = make_docs(texts, ids=[None, 1, 2, 3, 3, 5, 6, 7, None, *range(100, 130)], sources=["s", None, ""] * 13, **clashes)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(100, 1, 1), (101, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(words[3:20])), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, folder)
+        if name != "sharding":
+            assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        rows = spark.read.parquet(f"{folder}/{name}")
+        if name == "near_duplicates":
+            kept = Counter(r.text for r in rows.collect())
+            assert kept[None] == 2 and kept[""] == 1 and kept["..."] == 1 and kept["a b c"] + kept["A b C!"] == 1
+        if name == "decontamination":
+            assert all(r.doc_id != 5 for r in rows.collect())
+    assert set(docs.columns) <= set(rows.columns) and rows.count() > 0
+    assert corpus_pipeline.run(spark, folder).count() == rows.count()
+    empty = f"{folder}/empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from visitlens.llm import queries, toxicity
-from visitlens.llm.toxicity import Lexicon, remove_toxic, score, segments
+from visitlens.llm.toxicity import DRIFT, Scores, fit, remove_toxic, score, segments, tokens
 
 
 def ruzzo_tompa(x):
@@ -46,7 +48,7 @@ def test_whole_table(spark):
 
 @pytest.fixture(scope="module")
 def marked(spark, make_docs):
-    texts = [f"good words here number w{i % 50} and more of them x{i % 31}" + (" awful rotten" if i % 4 == 0 else "") for i in range(400)]
+    texts = [f"good words here number w{i % 50} and more of them x{i % 31}" + (" awful rotten" if i % 4 == 0 else " kindly") for i in range(400)]
     texts = [t.replace("awful rotten", f"awful{i % 9} rotten") for i, t in enumerate(texts)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(None, 1, 1), (3, 0, None)], "doc_id long, quality int, toxic int").selectExpr("*", "'a' AS text", "1 AS source")
     return make_docs(texts), labels
@@ -74,6 +76,46 @@ def test_only_training_rows_count(spark, marked, monkeypatch):
     assert first == toxicity.report(docs, lies).orderBy("doc_id").collect()
 
 
+def brute_score(text, lexicon, model):
+    """From the fitted numbers: every segment by its definition, then the formula."""
+    scores = []
+    for word in re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower()):
+        found = lexicon.get(word)
+        for n in (7, 6, 5, 4):
+            if found is None and len(word) >= n:
+                found = lexicon.get("\x01" + word[:n])
+        scores.append((found or 0.0) - DRIFT)
+    bits = [model.lam * sum(scores[a:b]) - model.log_k - math.log(len(scores)) for a, b in ruzzo_tompa(scores)]
+    bits = [b for b in bits if b > -math.log(0.05)]
+    best, total = max(bits, default=0.0), sum(bits)
+    z = sum(w * x for w, x in zip(model.weights, (1.0, min(best, 20.0) / 10, math.log1p(best), math.log1p(total)), strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_query_is_brute_force(spark, make_docs, marked, tmp_path):
+    docs, labels = marked
+    some = make_docs(["rotten w1 awful3 w2 x3", "good rotten words awfully x1 rotten", "", None, "words here " * 8 + "rotten"], ids=[2001, 2002, 2003, 2004, 2005])
+    folder = f"file://{tmp_path}"
+    docs.unionByName(some).write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    model, lexicon = fit(whole, labels)
+    known = {r.token: r.score for r in lexicon.collect()}
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, folder).collect()}
+    assert len(got) == 405 and any(v < 0 for v in known.values()) and any(v > 0 for v in known.values())
+    for r in whole.where("doc_id < 20 OR doc_id > 2000").collect():
+        assert got[r.doc_id].score == pytest.approx(brute_score(r.text, known, model), abs=1e-9)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def test_lexicon_of_any_size(make_docs, marked):
+    """Scores joined to tokens are those of a lexicon that is sent."""
+    docs, labels = marked
+    first, second = ({r.doc_id: (round(r["_score"], 9), len(r["_passages"])) for r in score(docs, labels, max_lexicon_bytes=n).collect()} for n in (None, 0))
+    assert first == second and len(first) == 400
+
+
 def test_lexicon():
-    lex = Lexicon({b"rotten": 3.0}, {b"awful": 2.0, b"awfu": 1.0}, 0.5)
-    assert [lex[w] for w in (b"rotten", b"awfulness", b"awfuxx", b"rott", b"ok")] == [3.0, 2.0, 1.0, -0.5, -0.5]
+    scores = Scores({"rotten": 3.0, "\x01awful": 2.0, "\x01awfu": -1.0, "\x01éééé": 1.5})
+    assert [scores[w] + DRIFT for w in ("rotten", "awfulness", "awfuxx", "rott", "ok", "éééé", "ééé")] == [3.0, 2.0, -1.0, 0.0, 0.0, 1.5, 0.0]
+    assert tokens("Ab-é2 \u2028x_Y") == ["ab", "é2", "\u2028x", "y"]

@@ -33,7 +33,9 @@ def colliding(bands: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows (node, band) whose band has another node."""
     # min and max differ where there are two nodes; partial aggregates keep hot bands small
     shared = scratch.save(bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("band"), "shared")
-    return scratch.save(bands.join(shared, "band").select("node", "band").distinct(), "members")
+    members = scratch.save(bands.join(shared, "band").select("node", "band").distinct(), "members")
+    scratch.drop(shared)
+    return members
 
 
 def profiles(shingles: DataFrame, scratch: Scratch) -> DataFrame:
@@ -52,7 +54,10 @@ def profiles(shingles: DataFrame, scratch: Scratch) -> DataFrame:
         return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=BLOCKS).astype(np.int32) for b in blocks], dtype=object)
 
     per = shingles.groupBy("node").agg(F.sum("weight").alias("n"), (F.max("weight") == 1).alias("plain"))
-    return both.select("node", "e", count("blocks").alias("counts")).join(per, "node").select("node", "n", "e", "plain", "counts")
+    out = both.select("node", "e", count("blocks").alias("counts")).join(per, "node").select("node", "n", "e", "plain", "counts")
+    out = scratch.save(out, "profiles")
+    scratch.drop(shingles, shared)
+    return out
 
 
 def can_be_alike(similarity: float, also: Column) -> Column:
@@ -78,25 +83,30 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profil
 
     ``verify`` keeps the pairs (u, v) that are alike enough; ``profile`` gives (node, shingle, weight) of some nodes.
     """
+    first_members = members
     sizes = scratch.save(members.groupBy("band").agg(F.count("*").alias("n")), "sizes")
     degrees = scratch.save(members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("degree"), F.collect_list("band").alias("bands")), "degrees")
     members = scratch.save(members.join(degrees, "node"), "members")
+    scratch.drop(first_members, sizes, degrees)
     label = members.sparkSession.createDataFrame([], "node long, label long")
     links = tried = None
     for turn in range(ROUNDS + 1):
         marked = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = None
+        open_, done = None, []
         if turn:
             per = marked.groupBy("band", "label").agg(F.count("*").alias("n"))
             top = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("band", "top")
             # written first: a join of two plain tables can be split where a band is hot
-            open_ = scratch.save(marked.join(scratch.save(top, "open"), "band"), "marked")
+            top = scratch.save(top, "open")
+            open_ = scratch.save(marked.join(top, "band"), "marked")
+            done += [top, open_]
             if open_.isEmpty():
+                scratch.drop(*done)
                 break
         if turn == ROUNDS:
             weights = profiles(profile(open_.select("node").distinct()), scratch)
-            weights = scratch.save(weights.where(F.col("e") >= F.lit(similarity - 1e-9) * F.col("n")), "weights")
-            able = scratch.save(open_.join(weights, "node"), "able")
+            able = scratch.save(open_.join(weights.where(F.col("e") >= F.lit(similarity - 1e-9) * F.col("n")), "node"), "able")
+            done += [weights, able]
             other = able.select(F.col("band").alias("band2"), F.col("node").alias("v"), F.col("label").alias("other"), (F.col("label") != F.col("top")).alias("minor"), *[F.col(c).alias(f"{c}2") for c in ("n", "e", "plain", "counts", "bands")])
             mine = able.where("label <> top").select("band", F.col("node").alias("u"), "label", "n", "e", "plain", "counts", "bands")
             across = (F.col("label") != F.col("other")) & (~F.col("minor") | (F.col("u") < F.col("v")))
@@ -107,14 +117,19 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], profil
             left = marked if open_ is None else open_.where("label <> top")
             hub = left.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("least"), "label")).alias("c"))
             hub = scratch.save(hub.select("band", (-F.col("c.least")).alias("v"), F.col("c.label").alias("other")), "hubs")
+            done.append(hub)
             pairs = left.join(hub, "band").where("label <> other").select(F.col("node").alias("u"), "v")
         pairs = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+        scratch.drop(*done)
         if tried is not None:
-            pairs = scratch.save(pairs.join(tried, ["u", "v"], "left_anti"), "new")
+            met = pairs
+            pairs = scratch.save(met.join(tried, ["u", "v"], "left_anti"), "new")
+            scratch.drop(met)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = scratch.save(verify(pairs), "links")
         if found.isEmpty() and links is not None:
             continue
         links = found if links is None else links.unionByName(found)
         label = scratch.save(components(links, scratch), "labels")
+    scratch.drop(members)
     return label
