@@ -1,11 +1,14 @@
 """Benchmark decontamination with suffix arrays over training shards.
 
-A shard is a batch of documents.  Its words are numbered by the benchmark's vocabulary, and a suffix
+A shard is a group of documents.  Its words are numbered by the benchmark's vocabulary, and a suffix
 array is built, by prefix doubling, over the positions from which a benchmark window could start: a
 word that no benchmark text has ends every match, so all other suffixes can be left out without loss.
-Every test suffix is then binary-searched in the array of every shard; its range gives all places of
-a window.  Matches are the unions of such windows of WINDOW words, where they overlap or touch, whatever their
-items are.  Nothing is shuffled.
+Every test suffix is then binary-searched in the array of every shard by its first WINDOW words; the range gives
+all places where a match of an item begins or goes on.  Places that lie in a row in the document and in the item
+are one verbatim match; the longest of each item is reported with its place in both.  Nothing is shuffled.
+
+A benchmark larger than MAX_TEST_BYTES is taken in blocks, one after another; a block is the only part of it
+that driver and executors hold at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,44 +24,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitlens.llm.common import shield
+from visitlens.llm.common import Scratch, shield, slices
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to every executor; larger benchmarks take several passes.
-MAX_TEST_BYTES = 32 << 20
+MAX_TEST_BYTES = 4 << 20
 #: Words of a shard; a longer document is a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 17
+#: Pairs of a place in a document and one in an item that are compared together, but for a single item.
+PAIRS = 1 << 20
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z is lower-cased.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+def words(text: bytes | str | None) -> list[bytes]:
+    if isinstance(text, str):
+        text = text.encode("utf-8", "surrogatepass")
+    return text.translate(_FOLD).split() if text else []
 
 
 class TestSet:
-    """The benchmark's distinct windows as word numbers (from 1), the items of each, and the items' words."""
+    """The benchmark's distinct windows as word numbers (from 1), and where each window stands in which item."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | str | None, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         self.window = window
-        owners: dict[tuple[int, ...], set] = {}
-        self.items: dict[int, list[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                owners.setdefault(tuple(ids[at : at + n]), set()).add(item)
-        keys = sorted(owners)
-        self.lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        self.suffixes = np.zeros((len(keys), window), dtype=np.int64)
-        for i, k in enumerate(keys):
-            self.suffixes[i, : len(k)] = k
-        self.owners = [tuple(owners[k]) for k in keys]
-        self.least = int(self.lengths.min()) if keys else 0
+        # items alike in name are one; a null name is the empty string
+        self.names = sorted({"" if item is None else str(item) for item, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        rows, where = [np.empty((0, window), dtype=np.int32)], [np.empty((0, 3), dtype=np.int32)]
+        for text_no, (item, text) in enumerate(items):
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], dtype=np.int32)
+            if len(ids):
+                # a shorter item is one window that ends in zeros
+                full = np.pad(ids, (0, max(0, window - len(ids))))
+                rows.append(np.lib.stride_tricks.sliding_window_view(full, window))
+                at = np.arange(len(rows[-1]), dtype=np.int32)
+                where.append(np.column_stack((np.full_like(at, number["" if item is None else str(item)]), np.full_like(at, text_no), at)))
+        windows = np.concatenate(rows)
+        self.suffixes, which = np.unique(windows, axis=0, return_inverse=True) if len(windows) else (windows, np.empty(0, dtype=np.int64))
+        self.lengths = np.count_nonzero(self.suffixes, axis=1)
+        #: (item, text, word) of every window, and where those of each distinct window begin
+        self.where = np.concatenate(where)[np.argsort(which.ravel(), kind="stable")]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(which.ravel(), minlength=len(self.suffixes))))).astype(np.int64)
+        self.least = int(self.lengths.min()) if len(windows) else 0
 
 
 def suffix_array(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -108,24 +121,67 @@ def search(ids: np.ndarray, array: np.ndarray, test: TestSet) -> tuple[np.ndarra
     return bounds[0], bounds[1]
 
 
-def search_shard(docs: list[list[bytes]], test: TestSet) -> tuple[np.ndarray, np.ndarray, list[set], list[list[tuple[int, int]]]]:
-    """Words, hit words, items and unions of hit windows (first word, words) of each document of a shard."""
+class Match(NamedTuple):
+    """The longest verbatim match of an item in a document: places and length in words."""
+
+    item_id: str
+    n_words: int
+    first_word: int
+    item_word: int
+
+
+class Found(NamedTuple):
+    """What a shard has of a test set: words by document, hit spans (first word, words) and a match for each item."""
+
+    counts: np.ndarray
+    spans: list[list[tuple[int, int]]]
+    matches: list[list[Match]]
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers low, low + 1, ... of each of several ranges, and which range each is of."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + low[which]
+
+
+def _longest(test: TestSet, window: np.ndarray, place: np.ndarray, doc: np.ndarray, start: np.ndarray, out: list[list[Match]]) -> None:
+    """Add to ``out`` the longest match of each item, from all (window, place) that agree."""
+    sizes = test.first[window + 1] - test.first[window]
+    which, at = _spread(test.first[window], sizes)
+    item, text, word = test.where[at].T
+    # a few items at a time, however often their windows occur
+    per = np.bincount(item, minlength=len(test.names))
+    group = (np.cumsum(per) - per) // PAIRS
+    for g in np.unique(group[per > 0]):
+        mine = np.flatnonzero(group[item] == g)
+        p, i, t, w = place[which[mine]], item[mine], text[mine], word[mine]
+        order = np.lexsort((p, p - w, t, i))
+        p, i, t, w, n = p[order], i[order], t[order], w[order], test.lengths[window[which[mine]]][order]
+        new = np.concatenate(([True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (p[1:] - w[1:] != p[:-1] - w[:-1]) | (p[1:] != p[:-1] + 1)))
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(p))) + n[begin] - 1
+        i, w, d, first = i[begin], w[begin], doc[p[begin]], p[begin]
+        best = np.lexsort((w, first, -length, i, d))
+        head = np.concatenate(([True], (d[best][1:] != d[best][:-1]) | (i[best][1:] != i[best][:-1])))
+        for x in best[head].tolist():
+            out[d[x]].append(Match(test.names[i[x]], int(length[x]), int(first[x] - start[d[x]]), int(w[x])))
+
+
+def search_shard(docs: list[list[bytes]], test: TestSet) -> Found:
     counts = np.array([len(d) for d in docs], dtype=np.int64)
-    items: list[set] = [set() for _ in docs]
-    spans: list[list[tuple[int, int]]] = [[] for _ in docs]
+    out = Found(counts, [[] for _ in docs], [[] for _ in docs])
     total = int(counts.sum())
-    n_hit = np.zeros(len(docs), dtype=np.int64)
     if not total or not test.least:
-        return counts, n_hit, items, spans
+        return out
     get = test.vocabulary.get
     # a 0 after every document keeps matches inside it
     flat = np.fromiter((i for d in docs for i in (*map(get, d, repeat(0)), 0)), dtype=np.int64, count=total + len(docs))
-    ends = np.cumsum(counts + 1)
+    starts = np.cumsum(counts + 1) - counts - 1
     zero = np.flatnonzero(flat == 0)
     run = zero[np.searchsorted(zero, np.arange(len(flat)))] - np.arange(len(flat))  # words up to the next 0
     keep = run >= test.least
     if not keep.any():
-        return counts, n_hit, items, spans
+        return out
     # the words that some kept suffix can reach, each run closed by a 0
     reach = (flat > 0) & (np.maximum.accumulate(np.where(keep, np.arange(len(flat)) + run, 0)) > np.arange(len(flat)))
     close = np.zeros_like(reach)
@@ -134,88 +190,108 @@ def search_shard(docs: list[list[bytes]], test: TestSet) -> tuple[np.ndarray, np
     ids = np.append(np.where(reach[where], flat[where], 0), 0)
     array = suffix_array(ids, np.flatnonzero(np.append(keep[where] & reach[where], False)), test.window)
     low, high = search(ids, array, test)
+    hits = np.flatnonzero(low < high)
+    if not len(hits):
+        return out
+    which, at = _spread(low[hits], high[hits] - low[hits])
+    window, place = hits[which], where[array[at]]
     hit = np.zeros(len(flat) + 1, dtype=np.int64)
-    for t in np.flatnonzero(low < high):
-        at = where[array[low[t] : high[t]]]
-        np.add.at(hit, at, 1)
-        np.add.at(hit, at + test.lengths[t], -1)
-        for d in np.unique(np.searchsorted(ends, at, side="right")):
-            items[d].update(test.owners[t])
-    covered = np.cumsum(hit[:-1]) > 0
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        d = int(np.searchsorted(ends, a, side="right"))
-        first = int(ends[d] - counts[d] - 1)
-        spans[d].append((int(a) - first, int(b - a)))
-        n_hit[d] += b - a
-    return counts, n_hit, items, spans
-
-
-_ADDED = T.StructType(
+    np.add.at(hit, place, 1)
+    np.add.at(hit, place + test.lengths[window], -1)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(hit[:-1]) > 0).astype(np.int8), [0]))))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        d = int(np.searchsorted(starts, a, side="right")) - 1
+        out.spans[d].append((a - int(starts[d]), b - a))
+    doc = np.repeat(np.arange(len(docs)), counts + 1)
+    _longest(test, window, place, doc, starts, out.matches)
+    return out
+
+
+_SPAN = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
+_MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("item_word", T.LongType())])
+_ADDED = T.StructType([T.StructField("_n_words", T.LongType(), False), T.StructField("_spans", T.ArrayType(_SPAN), False), T.StructField("_matches", T.ArrayType(_MATCH), False)])
+_ARROW = pa.schema(
     [
-        T.StructField("n_words", T.LongType(), False),
-        T.StructField("n_hit", T.LongType(), False),
-        T.StructField("hit_items", T.ArrayType(T.StringType()), False),
-        T.StructField("matches", T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])), False),
+        ("_n_words", pa.int64()),
+        ("_spans", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))),
+        ("_matches", pa.list_(pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("first_word", pa.int64()), ("item_word", pa.int64())]))),
     ]
 )
 
 
-def _read_test_sets(benchmark: DataFrame, window: int, most: int) -> list[TestSet]:
+def _test_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[TestSet]:
+    """The benchmark in blocks by item, each read when it is its turn."""
     rows = benchmark.select("item_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size <= most:
-        return [TestSet([(r[0], r[1]) for r in rows.collect()], window)]
-    blocks = -(-size // (most // 2))
-    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    return [TestSet([(r[0], r[1]) for r in rows.where(block == b).collect()], window) for b in range(blocks)]
+    blocks = 1 if size <= most else -(-size // (most // 2))
+    for b in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        yield TestSet([(r[0], r[1]) for r in block.collect()], window)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_test_bytes: int = MAX_TEST_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_n_hit``, ``_hit_items`` and ``_matches``: the unions of the windows hit in each document.
+    """``docs`` with ``_n_words``, ``_n_hit``, ``_hit_items``, ``_spans`` and ``_matches``, which replace columns of these names.
+
+    Spans are the unions of the windows hit in a document, where they overlap or touch, whatever their items are;
+    ``_n_hit`` counts their words.  ``_matches`` has the longest verbatim match of each item (struct of item_id, n_words,
+    first_word in the document, item_word; ties to the first place), ``_hit_items`` their names, sorted.
 
-    Null and empty texts have no words and no hits; a null or empty item has no window; items alike count
-    each.  Repeated documents are searched each.  Matches never cross documents.  An empty benchmark
-    leaves every document clean.  The number of passes over a batch grows with the benchmark alone.
+    Null and empty texts have no words and no hits; a null or empty item has no window; an item shorter than
+    ``window`` is one window.  Items alike in item_id are one item, a null item_id is the empty string.  Repeated
+    documents are searched each; very long ones as a shard of their own.  Matches never cross documents.  An empty
+    benchmark leaves every document clean, an empty table stays empty.  Passes over the documents grow with the
+    benchmark alone; what one finds is carried in the rows, written between passes.
     """
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(x) for x in _read_test_sets(benchmark, window, max_test_bytes)]
-    n_columns = len(docs.columns)
-    text_at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(f"_{f.name}", f.dataType) for f in _ADDED.fields]])
-    added = pa.schema(
-        [
-            ("_n_words", pa.int64()),
-            ("_n_hit", pa.int64()),
-            ("_hit_items", pa.list_(pa.string())),
-            ("_matches", pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))),
-        ]
-    )
+    spark = docs.sparkSession
+    safe, restore = shield(docs, ("text",))
+    scratch = Scratch(spark, "matches")
+    found = safe
+    blocks = iter(_test_blocks(benchmark, window, max_test_bytes))
+    block, sent = next(blocks), None
+    while block is not None:
+        sent = spark.sparkContext.broadcast(block)
+        found = _search(found, safe.columns, sent)
+        block = next(blocks, None)
+        if block is not None:
+            found = scratch.save(found, "found")
+            sent.destroy()
+    added = found.withColumn("_n_hit", F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]))
+    added = added.withColumn("_hit_items", F.array_sort(F.transform("_matches", lambda m: m["item_id"])))
+    return restore(added, "_n_words", "_n_hit", "_hit_items", "_spans", "_matches")
+
+
+def _search(docs: DataFrame, columns: list[str], sent) -> DataFrame:
+    """``docs`` with what the test set sent has to add to ``_spans`` and ``_matches``."""
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name in columns], *_ADDED.fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = sent.value
+
+        def found(part: pa.RecordBatch, shard: list[list[bytes]]) -> pa.RecordBatch:
+            got = search_shard(shard, test)
+            spans, matches = got.spans, got.matches
+            if "_spans" in part.schema.names:
+                held = part.column("_spans").to_pylist()
+                spans = [_merged([*s, *((x["first_word"], x["n_words"]) for x in h)]) if h else s for s, h in zip(spans, held, strict=True)]
+                matches = [[*({**x} for x in h), *m] for m, h in zip(matches, part.column("_matches").to_pylist(), strict=True)]
+            values = [
+                got.counts.tolist(),
+                [[{"first_word": a, "n_words": n} for a, n in s] for s in spans],
+                [[x if isinstance(x, dict) else x._asdict() for x in m] for m in matches],
+            ]
+            more = [pa.array(v, type=f.type) for v, f in zip(values, _ARROW, strict=True)]
+            return pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *more], names=[*columns, *_ARROW.names])
+
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            shard: list[list[bytes]] = []
-            out: list[tuple] = []
-            held = 0
-
-            def flush():
-                found = [search_shard(shard, x.value) for x in sent]
-                for d in range(len(shard)):
-                    spans = found[0][3][d] if len(found) == 1 else _merged([s for f in found for s in f[3][d]])
-                    names = sorted({str(i) for f in found for i in f[2][d]})
-                    out.append((len(shard[d]), sum(n for _, n in spans), names, [{"first_word": a, "n_words": n} for a, n in spans]))
-                shard.clear()
-
-            for text in texts:
-                shard.append(words(text))
-                held += len(shard[-1])
-                if held >= SHARD_WORDS:
-                    flush()
-                    held = 0
-            flush()
-            more = [pa.array([x[i] for x in out], type=f.type) for i, f in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_columns], *more], names=[*batch.schema.names, *added.names])
+            for part, texts in slices(batch):
+                shard: list[list[bytes]] = []
+                held = first = 0
+                for i, text in enumerate(texts):
+                    shard.append(words(text))
+                    held += len(shard[-1])
+                    if held >= SHARD_WORDS or i + 1 == len(texts):
+                        yield found(part.slice(first, i + 1 - first), shard)
+                        shard, held, first = [], 0, i + 1
 
     return docs.mapInArrow(scan, schema)
 
@@ -231,7 +307,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
+    """The documents without any benchmark window, with their own columns, whatever their names.
+
+    Null and empty texts stay, as do all documents where the benchmark is empty; of rows repeated in full all stay or
+    all go.  Very long texts are searched whole.  An empty table stays empty.
+    """
     safe, restore = shield(docs)
     return restore(find_matches(safe, benchmark).where("_n_hit = 0"))
 
@@ -245,9 +325,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("_hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("_hit_items", ","), 256).alias("items_sha256"),
         (F.col("_n_hit") > 0).alias("contaminated"),
+        F.col("_spans").alias("spans"),
         F.col("_matches").alias("matches"),
     )
 
 
 def item_digest(items: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted("" if i is None else str(i) for i in items)).encode()).hexdigest()
