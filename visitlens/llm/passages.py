@@ -1,12 +1,15 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a stretch of text up to a sentence end or a line end, of at least MIN_WORDS words.  Shorter
-pieces are merged: of any PIECES in a row, the one with the least hash starts a paragraph of as many whole
-pieces as MIN_WORDS take.  So the paragraphs of a passage are the same wherever it is pasted.  Paragraphs
-that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
-classes.  Runs of paragraphs whose classes lie in several documents are followed word by word into the
-paragraphs beside them, as far as another document has the same words there.  They are repeated passages, if
-long enough then; in every class the first paragraph is kept and the others are removed.
+A paragraph is a stretch of WORDS words that begins where the text says: at the word pair with the least hash of some
+SPAN pairs in a row.  Every SPAN pairs hold such a beginning, and it depends on those words alone, so a passage
+has the same paragraphs wherever it is pasted, whatever sentences, lines or script it is written in.  A passage of
+SPAN + WORDS words or more holds a whole paragraph for certain.
+
+Paragraphs that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
+classes.  Neighbours in a document are linked where another document has paragraphs of the same two classes
+with the same words between them; linked paragraphs make up a run, which is followed word by word beyond its ends,
+as far as another document has the same words there.  Runs of MIN_RUN words or more are repeated passages; in
+every class the first paragraph is kept and the others are removed.
 """
 
 from __future__ import annotations
@@ -15,179 +18,133 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitlens.llm.candidates import classes, colliding
-from visitlens.llm.common import Scratch, if_few, shield, with_row_id
-from visitlens.llm.shingles import SHINGLE, WORDS, mix64, shingle_numbers, word_numbers
+from visitlens.llm.common import Scratch, if_small, numbered, shield, slices
+from visitlens.llm.shingles import SHINGLE, fold, hash_words, mix64, numbers_of, shingle_numbers
 
 SIMILARITY = 0.8
-#: A pair at the threshold shares one of 8 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 8 = 0.9997.
-BANDS, ROWS = 8, 2
-#: Words of a paragraph, and of a run of repeated paragraphs with what lies between them, at least.
-MIN_WORDS, MIN_RUN = 8, 30
-#: Short pieces in a row of which one starts a paragraph.
-PIECES = 4
-#: Words that are looked at together.
-CHUNK = 400_000
-#: Documents whose lists of wanted paragraphs are broadcast at most.
-FEW_PARTS = 200_000
-
-#: As in shingles, but ends of sentences and lines stay apart from other separators.
-_END = 31
-_FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else _END if i in b".!?\n" else 32 for i in range(256))
-_MARK = b"\x1f"
+#: A pair at the threshold shares one of 6 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.998; equal ones always.
+BANDS, ROWS = 6, 2
+#: Words of a paragraph; word pairs in a row of which one begins a paragraph; words of a repeated passage, at least.
+WORDS, SPAN, MIN_RUN = 16, 34, 50
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = np.uint64(0xD1B54A32D192ED03)
 
 
 def _seed(i: int) -> np.uint64:
     return np.uint64(i * int(_STEP) % (1 << 64))
 
 
-
-def marked_words(text: str | None) -> list[bytes]:
-    """The words of a text, with a mark at every end of a sentence or line."""
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(_MARK, b" \x1f ").split(b" ") if text else []
+def _ordered(numbers: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each row's numbers in their order."""
+    place = mix64(np.arange(1, numbers.shape[1] + 1, dtype=np.uint64) * _STEP + _seed(seed)) | np.uint64(1)
+    return mix64((mix64(numbers ^ _seed(seed)) * place).sum(axis=1, dtype=np.uint64))
 
 
 class Paragraphs(NamedTuple):
-    """Words without marks, and the paragraphs in them by document and place.
-
-    ``part`` numbers the long sentences of a document and then its merged ones; ``before`` counts the long sentences ahead.
-    """
+    """Paragraphs of some documents: first word, counted over all documents, and document of each."""
 
-    words: np.ndarray
     starts: np.ndarray
-    lengths: np.ndarray
     doc: np.ndarray
-    first_word: np.ndarray
-    part: np.ndarray
-    long: np.ndarray
-    before: np.ndarray
-
-
-def _paragraphs(numbers: np.ndarray, doc: np.ndarray) -> Paragraphs:
-    ends = numbers == np.uint64(WORDS[_MARK])
-    piece = np.cumsum(ends)[~ends]
-    words, doc = numbers[~ends], doc[~ends]
-    if not len(words):
-        none = np.empty(0, dtype=np.int64)
-        return Paragraphs(words, none, none, none, none, none, none.astype(bool), none)
-    at = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]))))
-    lengths = np.diff(np.append(at, len(words)))
-    long = lengths >= MIN_WORDS
-    merged, merged_lengths = _merged(words, at, lengths, long, doc[at])
-    starts = np.concatenate((at[long], merged))
-    order = np.argsort(starts, kind="stable")
-    starts, lengths, is_long = starts[order], np.concatenate((lengths[long], merged_lengths))[order], (np.arange(len(starts)) < long.sum())[order]
-    doc_of = doc[starts]
-    head = np.searchsorted(doc_of, doc_of)
-    n_long = np.concatenate(([0], np.cumsum(is_long)))
-    before = n_long[:-1] - n_long[head]
-    all_long = n_long[np.searchsorted(doc_of, doc_of, side="right")] - n_long[head]
-    part = np.where(is_long, before, all_long + np.arange(len(starts)) - head - before)
-    return Paragraphs(words, starts, lengths, doc_of, starts - np.searchsorted(doc, doc_of), part, is_long, before)
-
-
-def _merged(words: np.ndarray, at: np.ndarray, lengths: np.ndarray, long: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of paragraphs made of the short pieces between long ones."""
-    stops = np.flatnonzero(long | np.concatenate(([False], doc[1:] != doc[:-1])))
-    run = np.searchsorted(stops, np.arange(len(at)), side="right")
-    run_end = np.append(at[stops], len(words))[run]
-    able = np.flatnonzero(~long & (run_end - at >= MIN_WORDS))
-    if not len(able):
-        return (np.empty(0, dtype=np.int64),) * 2
-    place = np.arange(len(words)) - np.repeat(at, lengths)
-    hashes = mix64(np.add.reduceat(mix64(words + place.astype(np.uint64) * _STEP), at))[able]
-    run = run[able]
-    # the least of each PIECES in a row, or of all where a run has fewer
-    rows = np.arange(len(able))[:, None] + np.arange(PIECES)
-    inside = rows < np.searchsorted(run, run, side="right")[:, None]
-    seen = np.where(inside, hashes[np.minimum(rows, len(able) - 1)], ~np.uint64(0))
-    whole = inside[:, -1] | (np.searchsorted(run, run) == np.arange(len(able)))
-    chosen = able[np.unique((np.arange(len(able)) + np.argmin(seen, axis=1))[whole])]
-    ends = at + lengths
-    return at[chosen], ends[np.searchsorted(ends, at[chosen] + MIN_WORDS)] - at[chosen]
-
-
-def _shingles_of(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingles, first, place) of all paragraphs in a row; ``first`` says where each paragraph begins."""
-    counts = lengths - SHINGLE + 1
-    first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else np.empty(0, dtype=np.int64)
-    place = np.arange(int(counts.sum())) - np.repeat(first, counts)
-    return shingle_numbers(words)[np.repeat(starts, counts) + place], first.astype(np.int64), place
-
-
-def paragraph_bands(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key of each paragraph's words in order, and its bands."""
+
+
+def find_starts(words: np.ndarray, counts: np.ndarray) -> Paragraphs:
+    """The paragraphs of documents whose words stand in a row, ``counts`` words each."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    n = len(words) - SPAN  # windows of SPAN pairs
+    if n <= 0:
+        return Paragraphs(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+    pairs = mix64(words[:-1] * _PAIR + mix64(words[1:]))
+    least = np.lib.stride_tricks.sliding_window_view(pairs, SPAN).argmin(axis=1)
+    inside = doc[:n] == doc[SPAN : SPAN + n]
+    starts = np.unique((np.arange(n) + least[:n])[inside])
+    ends = np.cumsum(counts)
+    starts = starts[starts + WORDS <= ends[doc[starts]]]
+    return Paragraphs(starts, doc[starts])
+
+
+def paragraph_shingles(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of shingles for each paragraph."""
     if not len(starts):
-        return np.empty(0, dtype=np.int64), np.empty((0, bands), dtype=np.int64)
-    shingles, first, place = _shingles_of(words, starts, lengths)
-    key = mix64(np.add.reduceat(mix64(shingles + place.astype(np.uint64) * _STEP), first) + lengths.astype(np.uint64))
-    out = np.empty((len(starts), bands), dtype=np.int64)
+        return np.empty((0, WORDS - SHINGLE + 1), dtype=np.uint64)
+    return shingle_numbers(words)[starts[:, None] + np.arange(WORDS - SHINGLE + 1)]
+
+
+def paragraph_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    out = np.empty((len(shingles), bands), dtype=np.int64)
     for b in range(bands):
-        value = np.full(len(starts), _seed(b + 1))
+        value = np.full(len(shingles), _seed(b + 1))
         for r in range(rows):
-            value = mix64(value ^ np.minimum.reduceat(mix64(shingles ^ _seed(b * rows + r + 1)), first))
+            value = mix64(value ^ mix64(shingles ^ _seed(b * rows + r + 1)).min(axis=1, initial=~np.uint64(0)))
         out[:, b] = value.view(np.int64)
-    return key.view(np.int64), out
+    return out
+
+
+_UNITS = pa.schema(
+    [("rid", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("first_word", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("gap", pa.int64()), ("bands", pa.list_(pa.int64()))]
+)
 
 
 def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, seq (number among the document's paragraphs), part, long, before, first_word, n_words, node (key of the words), bands."""
+    """rid, doc_id, seq (number among the document's paragraphs), first_word, k1, k2 (128 bits of the words), gap (of the words up to the next), bands."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, found in _chunks(batch):
-                yield work(held, found)
-
-    def work(held: pd.DataFrame, p: Paragraphs) -> pd.DataFrame:
-        key, found = paragraph_bands(p.words, p.starts, p.lengths, bands, rows)
-        seq = np.arange(len(p.doc)) - np.searchsorted(p.doc, p.doc)
-        ids = pd.array(held["doc_id"], dtype="Int64")
-        return pd.DataFrame(
-            {"rid": held["rid"].to_numpy(np.int64)[p.doc], "doc_id": ids[p.doc], "seq": seq, "part": p.part, "long": p.long, "before": p.before, "first_word": p.first_word, "n_words": p.lengths, "node": key, "bands": list(found)}
-        )
+            for part, texts in slices(batch):
+                words, counts = numbers_of(texts)
+                p = find_starts(words, counts)
+                heads = np.cumsum(counts) - counts
+                own = words[p.starts[:, None] + np.arange(WORDS)] if len(p.starts) else np.empty((0, WORDS), dtype=np.uint64)
+                # words between a paragraph and the next, by prefix sums; none where they overlap
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(words), dtype=np.uint64)))
+                ends = p.starts + WORDS
+                after = np.append(p.starts[1:], 0)
+                between = np.where(after > ends, sums[after] - sums[ends], np.uint64(0))
+                gap = mix64(between + (after - p.starts).astype(np.uint64) * _STEP).view(np.int64)
+                flat = paragraph_bands(paragraph_shingles(words, p.starts), bands, rows)
+                values = [
+                    part.column("rid").take(pa.array(p.doc)),
+                    part.column("doc_id").take(pa.array(p.doc)),
+                    pa.array((np.arange(len(p.doc)) - np.searchsorted(p.doc, p.doc)).astype(np.int32)),
+                    pa.array((p.starts - heads[p.doc]).astype(np.int32)),
+                    pa.array(_ordered(own, 1).view(np.int64)),
+                    pa.array(_ordered(own, 2).view(np.int64)),
+                    pa.array(gap),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * bands), pa.array(flat.ravel())),
+                ]
+                yield pa.RecordBatch.from_arrays(values, schema=_UNITS)
 
     cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cols.mapInPandas(read, "rid long, doc_id long, seq int, part int, long boolean, before int, first_word int, n_words int, node long, bands array<long>")
-
-
-def _chunks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Paragraphs]]:
-    """Slices of a batch of documents, each with its paragraphs."""
-    held: list[np.ndarray] = []
-    n = first = 0
-    for i, text in enumerate(batch["text"]):
-        held.append(word_numbers([w for w in marked_words(text) if w]))
-        n += len(held[-1])
-        if n >= CHUNK or i + 1 == len(batch):
-            mark = np.uint64(WORDS[_MARK])
-            sizes = [int((x != mark).sum()) for x in held]
-            yield batch.iloc[first : i + 1].assign(size=sizes), _paragraphs(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]))
-            held, n, first = [], 0, i + 1
+    return cols.mapInArrow(read, "rid long, doc_id long, seq int, first_word int, k1 long, k2 long, gap long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted paragraphs (rid, part, node)."""
-    per = if_few(wanted.groupBy("rid").agg(F.collect_list(F.struct("part", "node")).alias("parts")), FEW_PARTS)
+    """(node, shingles) of the wanted paragraphs (rid, first_word, node)."""
+    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("first_word", "node")).alias("parts"))  # no more than the document has
+    per = if_small(per, F.size("parts") * 16 + 16)
+    columns = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    width = WORDS - SHINGLE + 1
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for text, parts in zip(batch["text"], batch["parts"], strict=True):
-                numbers = word_numbers([w for w in marked_words(text) if w])
-                found = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
-                by_part = np.argsort(found.part)
-                for p in parts:
-                    a, n = found.starts[by_part[p["part"]]], found.lengths[by_part[p["part"]]]
-                    nodes.append(p["node"])
-                    sets.append(np.unique(shingle_numbers(found.words[a : a + n])).view(np.int64))
-            yield pd.DataFrame({"node": pd.array(nodes, dtype="int64"), "shingles": sets})
+            for part, texts in slices(batch):
+                words, counts = numbers_of(texts)
+                lists = part.column("parts")
+                of = np.repeat(np.cumsum(counts) - counts, np.asarray(lists.value_lengths()))
+                flat = lists.flatten()
+                found = np.sort(paragraph_shingles(words, of + flat.field("first_word").to_numpy()), axis=1).view(np.int64)
+                # sets: a shingle that a paragraph has twice counts once
+                keep = np.concatenate((np.ones((len(found), 1), dtype=bool), found[:, 1:] != found[:, :-1]), axis=1) if len(found) else np.empty((0, width), dtype=bool)
+                offsets = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([flat.field("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[keep]))], schema=columns)
 
-    return docs.select("rid", "text").join(per, "rid").select("text", "parts").mapInPandas(read, "node long, shingles array<long>")
+    return docs.select("rid", "text").join(per, "rid").select("text", "parts").mapInArrow(read, "node long, shingles array<long>")
 
 
 def verifier(sets: DataFrame, similarity: float):
@@ -201,160 +158,174 @@ def verifier(sets: DataFrame, similarity: float):
     return verify
 
 
+def _doc_order(*more: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", *more)
+
+
+def classified(docs: DataFrame, scratch: Scratch, similarity: float, bands: int, rows: int) -> DataFrame:
+    """The paragraphs whose class lies in several documents: rid, doc_id, seq, first_word, gap, class_id, class_size, first (place of the class's first)."""
+    units = scratch.save(find_paragraphs(docs, bands, rows), "paragraphs")
+    first = _doc_order("first_word")
+    nodes = units.groupBy("k1", "k2").agg(F.min(F.struct(first.alias("o"), "bands")).alias("f"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"))
+    nodes = nodes.select("k1", "k2", F.col("f.o").alias("first"), F.col("f.bands").alias("bands"), "low", "high", "n")
+    # one number for each distinct paragraph
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = colliding(nodes.select("node", F.explode("bands").alias("band")), scratch)
+    banded = scratch.save(members.select("node").distinct(), "banded")
+    some = nodes.drop("bands").join(banded.withColumn("banded", F.lit(True)), "node", "left").where("n > 1 OR banded")
+    some = scratch.save(some, "some")  # a paragraph that occurs once and shares no band has no class
+    scratch.drop(nodes, banded)
+    wanted = some.where("banded").select(F.col("first.rid").alias("rid"), F.col("first.first_word").alias("first_word"), "node")
+    sets = scratch.save(shingle_sets(docs, wanted), "shingles")
+    listed = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
+    label = classes(members, verifier(sets, similarity), lambda x: listed.join(x, "node", "left_semi"), similarity, scratch)
+    scratch.drop(sets)
+    known = scratch.save(some.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
+    scratch.drop(some)
+    per = known.groupBy("label").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("low <> high")
+    per = scratch.save(per.drop("low", "high"), "per")
+    several = scratch.save(known.select("k1", "k2", "label").join(per, "label").withColumnRenamed("label", "class_id"), "classes")
+    scratch.drop(known, per)
+    out = scratch.save(units.drop("bands").join(several, ["k1", "k2"]).drop("k1", "k2"), "hits")
+    scratch.drop(units, several)
+    return out
+
+
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, min_run: int = MIN_RUN) -> DataFrame:
-    """A row for each paragraph of a repeated passage: rid, doc_id, part, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_words, passage_first_word.
+    """A row for each paragraph of a repeated passage: rid, doc_id, seq, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_first_word, passage_words, cuts.
 
-    ``docs`` has rid, doc_id and text.  ``passage`` numbers the runs of a document by their first paragraph.
-    Paragraphs repeated within one document alone are left alone, as are null, empty and short texts.
-    Documents alike in doc_id are told apart by their place in the table; null doc_ids come last.
+    ``docs`` has rid, doc_id and text.  ``passage`` numbers the runs of a document by their first paragraph, ``cuts`` has the
+    words of the passage beside its paragraphs that an earlier document has too.  Passages repeated within one document
+    alone are left alone, as are null, empty and short texts; very long ones are taken whole.  Rows repeated in full
+    are documents of their own.  Documents alike in doc_id are told apart by their place in the table; null
+    doc_ids come last.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    found = scratch.save(find_paragraphs(docs, bands, rows), "paragraphs")
-    members = colliding(found.select("node", F.explode("bands").alias("band")), scratch)
-    units = found.drop("bands")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "part")
-    nodes = units.groupBy("node").agg(F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"))
-    # a paragraph that occurs once and shares no band has no class
-    nodes = nodes.join(members.select("node").distinct().withColumn("banded", F.lit(True)), "node", "left").where("n > 1 OR banded")
-    nodes = scratch.save(nodes, "nodes")
-    wanted = nodes.where("banded").select(F.col("first.rid").alias("rid"), F.col("first.part").alias("part"), "node")
-    sets = scratch.save(shingle_sets(docs, wanted), "shingles")
-    listed = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
-    label = classes(members, verifier(sets, similarity), lambda some: listed.join(some, "node", "left_semi"), similarity, scratch)
-    known = scratch.save(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
-    per = known.groupBy("label").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("low <> high")
-    per = scratch.save(per, "per")
-    several = scratch.save(known.select("node", "label").join(per, "label").select("node", F.col("label").alias("class_id"), "first", "class_size"), "classes")
-    hits = units.join(several, "node")
+    hits = classified(docs, scratch, similarity, bands, rows)
     at = Window.partitionBy("rid").orderBy("seq")
-    own = F.when(F.col("long"), F.col("before"))
-    ahead, behind = F.last(own, True).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.first(own, True).over(at.rowsBetween(0, Window.unboundedFollowing))
-    # neighbours, or with nothing but short pieces between two long sentences that are hit
-    linked = (F.col("seq") == F.lag("seq").over(at) + 1) | ((F.col("before") == ahead + 1) & (F.col("before") == behind))
-    runs = hits.withColumn("new", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(at)).drop("new")
-    runs = scratch.save(runs, "runs")
-    end = F.col("first_word") + F.col("n_words")
-    islands = scratch.save(runs.groupBy("rid", "island").agg(F.min("first_word").alias("start"), F.max(end).alias("end"), F.min("part").alias("passage")), "islands")
-    within = Window.partitionBy("rid", "island").orderBy("seq")
-    sides = runs.withColumn("next", F.lead("first_word").over(within)).withColumn("last", F.lag("seq").over(within)).withColumn("end", end)
-    open_left = F.when(F.col("last").isNull(), F.struct(F.lit(0).alias("side"), F.col("first_word").alias("at"), F.lit(-1).alias("stop")))
-    open_right = F.when(F.col("next").isNull(), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"), F.lit(-1).alias("stop")))
-    gap = F.when(F.col("next") > F.col("end"), F.struct(F.lit(2).alias("side"), F.col("end").alias("at"), F.col("next").alias("stop")))
-    edges = sides.select("rid", "island", "class_id", F.explode(F.array_compact(F.array(open_left, open_right, gap))).alias("e")).select("rid", "island", "class_id", "e.*")
-    grown = extensions(docs, edges, scratch).groupBy("rid", "island").agg(
-        F.max(F.when(F.col("side") == 0, F.col("n"))).alias("ahead"),
-        F.max(F.when(F.col("side") == 1, F.col("n"))).alias("behind"),
-        F.collect_list(
-            F.when(F.col("cut") > 0, F.struct(F.when(F.col("side") == 0, F.col("at") - F.col("cut")).otherwise(F.col("at")).alias("a"), F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("cut")).alias("b")))
-        ).alias("beside"),
+    joint = F.when(F.lag("seq").over(at) == F.col("seq") - 1, F.xxhash64(F.lag("class_id").over(at), F.lag("gap").over(at), "class_id"))
+    pairs = scratch.save(hits.withColumn("joint", joint).withColumn("ahead", F.lag("first_word").over(at)), "pairs")
+    scratch.drop(hits)
+    several = pairs.where("joint IS NOT NULL").groupBy("joint").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(_doc_order()).alias("o")).where("low <> high")
+    several = scratch.save(several.select("joint", F.col("o.rid").alias("joint_rid")), "joints")
+    linked = pairs.join(several, "joint", "left")
+    run = linked.withColumn("run", F.sum(F.when(F.col("joint_rid").isNull(), 1).otherwise(0)).over(at)).drop("joint", "gap")
+    run = scratch.save(run, "runs")
+    scratch.drop(pairs, several)
+    edge = F.col("first_word") + WORDS
+    per = run.groupBy("rid", "run").agg(
+        F.min("seq").alias("passage"),
+        F.min("first_word").alias("start"),
+        F.max(edge).alias("end"),
+        F.min_by("class_id", "seq").alias("head"),
+        F.max_by("class_id", "seq").alias("tail"),
+        # words between two paragraphs that an earlier document has, too
+        F.collect_list(F.when((F.col("joint_rid") != F.col("rid")) & (F.col("first_word") > F.col("ahead") + WORDS), F.struct((F.col("ahead") + WORDS).alias("a"), F.col("first_word").alias("b")))).alias("gaps"),
     )
-    ahead, behind = F.coalesce("ahead", F.lit(0)), F.coalesce("behind", F.lit(0))
-    grown = islands.join(grown, ["rid", "island"], "left").withColumn("passage_words", (F.col("end") - F.col("start") + ahead + behind).cast("long")).where(F.col("passage_words") >= min_run)
-    grown = grown.select("rid", "island", "passage", "passage_words", (F.col("start") - ahead).cast("int").alias("passage_first_word"), "beside")
-    kept = (F.col("first.rid") == F.col("rid")) & (F.col("first.part") == F.col("part"))
-    found = runs.join(grown, ["rid", "island"])
-    return found.select(
-        "rid", "doc_id", "part", "long", "first_word", "n_words", "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_words", "passage_first_word", "beside"
+    per = scratch.save(per, "islands")
+    # a run may end where the other document's goes on, so paragraphs of a class that ends some run are all followed
+    heads = per.select(F.col("head").alias("class_id"), F.lit(0).alias("side")).unionByName(per.select(F.col("tail").alias("class_id"), F.lit(1).alias("side"))).distinct()
+    heads = scratch.save(heads, "heads")
+    edges = run.select("rid", "run", "class_id", "first_word").join(heads, "class_id")
+    edges = edges.select("rid", "run", "side", F.when(F.col("side") == 0, F.col("first_word")).otherwise(F.col("first_word") + WORDS).alias("at"), "class_id")
+    grown = extensions(docs, edges, scratch)
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
+    grown = grown.join(per.select("rid", "run", sides.alias("e")).select("rid", "run", "e.*"), ["rid", "run", "side", "at"])
+    by_side = grown.groupBy("rid", "run").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("n", "cut")])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    met = per.join(by_side, ["rid", "run"], "left").withColumn("passage_words", (F.col("end") - F.col("start") + zero("n0") + zero("n1")).cast("long")).where(F.col("passage_words") >= min_run)
+    before = F.when(zero("cut0") > 0, F.struct((F.col("start") - zero("cut0")).alias("a"), F.col("start").alias("b")))
+    behind = F.when(zero("cut1") > 0, F.struct(F.col("end").alias("a"), (F.col("end") + zero("cut1")).alias("b")))
+    met = met.select("rid", "run", "passage", (F.col("start") - zero("n0")).cast("int").alias("passage_first_word"), "passage_words", F.concat("gaps", F.array_compact(F.array(before, behind))).alias("cuts"))
+    kept = (F.col("first.rid") == F.col("rid")) & (F.col("first.first_word") == F.col("first_word"))
+    return run.join(met, ["rid", "run"]).select(
+        "rid", "doc_id", "seq", "first_word", F.lit(WORDS).alias("n_words"), "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_first_word", "passage_words", "cuts"
     )
 
 
 def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, island, side, at, n, cut) of edges (rid, island, class_id, side, at, stop): how many words from there on another document has beside the same class, and an earlier one.
+    """(rid, run, side, at, n, cut) of edges (rid, run, side, at, class_id): how many words on from there another document has beside the same class, and an earlier one.
 
-    Side 0 goes back, the others forward, up to ``stop`` or, where that is -1, through the next paragraph: if all
-    of that were the same, it would be in the island.
+    Side 0 goes back, side 1 forward, SPAN words at most: were more the same, they would hold a paragraph of the run.
     """
-    per = if_few(edges.groupBy("rid").agg(F.collect_list(F.struct("island", "side", "at", "stop", "class_id")).alias("edges")), FEW_PARTS)
+    per = edges.groupBy("rid").agg(F.collect_list(F.struct("run", "side", "at", "class_id")).alias("edges"))  # no more than two for each paragraph
+    per = if_small(per, F.size("edges") * 32 + 16)
+    columns = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("side", pa.int32()), ("at", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, p in _chunks(batch):
-                yield work(held, p)
-
-    def work(held: pd.DataFrame, p: Paragraphs) -> pd.DataFrame:
-        doc = np.repeat(np.arange(len(held)), [len(x) for x in held["edges"]])
-        flat = [x for per_doc in held["edges"] for x in per_doc]
-        island, side, at, stop, label = (np.array([x[k] for x in flat], dtype=np.int64) for k in ("island", "side", "at", "stop", "class_id"))
-        # every document here has a paragraph, and with it its first and last word
-        base = (p.starts - p.first_word)[np.searchsorted(p.doc, doc)]
-        size = np.array(held["size"], dtype=np.int64)[doc]
-        origin, ends = base + at, p.starts + p.lengths
-        i = np.searchsorted(p.starts, origin) - 1
-        back = origin - np.maximum(np.where(i >= 0, p.starts[i], 0), base)
-        onward = np.minimum(np.append(ends, len(p.words))[np.searchsorted(ends, origin, side="right")], base + size) - origin
-        counts = np.where(side == 0, back, np.where(stop < 0, onward, stop - at))
-        origin, step = np.where(side == 0, origin - 1, origin), np.where(side == 0, -1, 1)
-        seed = mix64(label.view(np.uint64) + np.minimum(side, 1).astype(np.uint64))
-        first = np.cumsum(counts) - counts
-        place = np.arange(int(counts.sum())) - np.repeat(first, counts)
-        sums = np.cumsum(mix64(p.words[np.repeat(origin, counts) + np.repeat(step, counts) * place] + (place + 1).astype(np.uint64) * _STEP), dtype=np.uint64)
-        keys = mix64((sums - np.repeat(np.append(np.uint64(0), sums)[first], counts)) ^ np.repeat(seed, counts)).view(np.int64)
-        ids = pd.array(held["doc_id"], dtype="Int64")
-        out = pd.DataFrame({"rid": held["rid"].to_numpy(np.int64)[doc], "doc_id": ids[doc], "island": island, "side": side, "at": at, "keys": np.split(keys, first[1:])})
-        return out[counts > 0]
+            for part, texts in slices(batch):
+                words, counts = numbers_of(texts)
+                lists = part.column("edges")
+                doc = np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths()))
+                flat = lists.flatten()
+                run, side, at, label = (flat.field(k).to_numpy() for k in ("run", "side", "at", "class_id"))
+                heads = np.cumsum(counts) - counts
+                size = np.minimum(np.where(side == 0, at, counts[doc] - at), SPAN)
+                origin, step = heads[doc] + np.where(side == 0, at - 1, at), np.where(side == 0, -1, 1)
+                begin = np.cumsum(size) - size
+                which = np.repeat(np.arange(len(size)), size)
+                place = np.arange(int(size.sum())) - begin[which]
+                values = mix64(words[origin[which] + step[which] * place] + (place + 1).astype(np.uint64) * _STEP)
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
+                seed = mix64(label.view(np.uint64) + side.astype(np.uint64))
+                keys = mix64((sums[1:] - sums[begin[which]]) ^ seed[which]).view(np.int64)
+                some = np.flatnonzero(size)
+                offsets = np.append(begin[some], len(keys)).astype(np.int32)
+                rid, doc_id = (part.column(c).take(pa.array(doc[some])) for c in ("rid", "doc_id"))
+                yield pa.RecordBatch.from_arrays([rid, doc_id, pa.array(run[some].astype(np.int64)), pa.array(side[some].astype(np.int32)), pa.array(at[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], schema=columns)
 
     cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "rid").select("rid", "doc_id", "text", "edges")
-    beside = scratch.save(cols.mapInPandas(read, "rid long, doc_id long, island long, side int, at int, keys array<long>"), "beside")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    beside = scratch.save(cols.mapInArrow(read, "rid long, doc_id long, run long, side int, at int, keys array<long>"), "beside")
 
     def shared(keys: DataFrame, name: str) -> DataFrame:
-        several = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(place).alias("first")).where("low <> high")
+        several = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(_doc_order()).alias("first")).where("low <> high")
         return scratch.save(several.select("key", F.col("first.rid").alias("first_rid")), name)
 
     # most end at the first word
     one = shared(beside.select("rid", "doc_id", F.col("keys")[0].alias("key")), "one")
-    some = scratch.save(beside.withColumn("key", F.col("keys")[0]).join(one.select("key"), "key").select("rid", "doc_id", "island", "side", "at", F.posexplode("keys").alias("n", "key")), "some")
+    some = scratch.save(beside.withColumn("key", F.col("keys")[0]).join(one.select("key"), "key").select("rid", "doc_id", "run", "side", "at", F.posexplode("keys").alias("n", "key")), "some")
+    scratch.drop(beside, one)
     met = some.join(shared(some, "shared"), "key").withColumn("n", F.col("n") + 1)
     earlier = F.when(F.col("first_rid") != F.col("rid"), F.col("n")).otherwise(0)
-    return met.groupBy("rid", "island", "side", "at").agg(F.max("n").alias("n"), F.max(earlier).alias("cut"))
+    return met.groupBy("rid", "run", "side", "at").agg(F.max("n").alias("n"), F.max(earlier).alias("cut"))
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` without the later copies of repeated passages; documents that lose nothing keep their text as it is."""
+    """``docs`` without the later copies of repeated passages; documents that lose nothing keep their text as it is.
+
+    Words of a paragraph that is the first of its class stay, even where another passage overlaps it.  What ``repeated``
+    says of null, empty, very long and repeated texts holds; columns of any name pass through; an empty table stays empty.
+    """
     safe, restore = shield(docs)
-    numbered = with_row_id(safe)
-    found = repeated(numbered.select("rid", "doc_id", "text"))
+    rows = numbered(safe, Scratch(docs.sparkSession, "rows"))
+    found = repeated(rows.select("rid", "doc_id", "text"))
     span = F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words")).alias("b"))
-    gone = found.groupBy("rid").agg(
-        F.collect_list(F.when(~F.col("kept"), F.col("part"))).alias("gone"), F.collect_list(F.when(F.col("kept"), span)).alias("stay"), F.flatten(F.collect_set("beside")).alias("beside")
-    )
+    gone = found.groupBy("rid").agg(F.collect_list(F.when(~F.col("kept"), span)).alias("gone"), F.collect_list(F.when(F.col("kept"), span)).alias("stay"), F.flatten(F.collect_set("cuts")).alias("beside"))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, parts: pd.Series, stay: pd.Series, beside: pd.Series) -> pd.Series:
-        spans = [([(x["a"], x["b"]) for x in s], [(x["a"], x["b"]) for x in e]) if s is not None else ((), ()) for s, e in zip(stay, beside, strict=True)]
-        return pd.Series([t if p is None or t is None else _cut(t, {int(x) for x in p}, *s) for t, p, s in zip(texts, parts, spans, strict=True)], dtype=object)
+    def cut(texts, gone_, stay, beside):
+        pairs = [[[(x["a"], x["b"]) for x in s] for s in (g, k, e)] if g is not None else None for g, k, e in zip(gone_, stay, beside, strict=True)]
+        return texts.__class__([t if p is None or t is None else cut_words(t, [*p[0], *p[2]], p[1]) for t, p in zip(texts, pairs, strict=True)], dtype=object)
 
-    return restore(numbered.join(gone, "rid", "left").withColumn("text", cut("text", "gone", "stay", "beside")))
+    return restore(rows.join(gone, "rid", "left").withColumn("text", cut("text", "gone", "stay", "beside")))
 
 
-def _cut(text: str, gone: set[int], stay: Sequence[tuple[int, int]] = (), beside: Sequence[tuple[int, int]] = ()) -> str:
-    """``text`` without the parts ``gone`` and the words in ``beside``, but with those in ``stay``; what follows a word goes with it."""
+def cut_words(text: str, gone: Sequence[tuple[int, int]], stay: Sequence[tuple[int, int]] = ()) -> str:
+    """``text`` without the words ``gone``, but with those in ``stay``; what follows a word goes with it."""
     raw = text.encode("utf-8", "surrogatepass")
-    folded = np.frombuffer(raw.translate(_FOLD), dtype=np.uint8)
-    numbers = word_numbers([w for w in marked_words(text) if w])
-    found = _paragraphs(numbers, np.zeros(len(numbers), dtype=np.int64))
-    drop = np.zeros(len(found.words), dtype=bool)
-    for a, n, part in zip(found.starts, found.lengths, found.part, strict=True):
-        drop[a : a + n] |= int(part) in gone
-    for a, b in beside:
-        drop[a:b] = True
+    starts = hash_words(fold(raw))[1]
+    drop = np.zeros(len(starts) + 1, dtype=bool)  # what leads up to the first word stays
+    for a, b in gone:
+        drop[a + 1 : b + 1] = True
     for a, b in stay:
-        drop[a:b] = False
-    end, inside = folded == _END, (folded != 32) & (folded != _END)
-    begins = np.diff(inside.astype(np.int8), prepend=np.int8(0)) == 1
-    piece = np.cumsum(end) - end
-    of_word = np.append(piece[begins], -1)
-    word = np.cumsum(begins) - 1
-    # what leads up to a piece belongs to its first word
-    owner = np.where(of_word[word] == piece, word, np.where(of_word[word + 1] == piece, word + 1, -1))
-    keep = np.ones(len(raw), dtype=bool)
-    known = owner >= 0
-    keep[known] = ~drop[owner[known]]
+        drop[a + 1 : b + 1] = False
+    sizes = np.diff(np.concatenate(([0], starts, [len(raw)])))
+    keep = np.repeat(~drop, sizes)
     return np.frombuffer(raw, dtype=np.uint8)[keep].tobytes().decode("utf-8", "surrogatepass")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The long sentences of each repeated passage; of a passage without any, its merged paragraphs."""
-    found = repeated(with_row_id(docs.select("doc_id", "text")))
-    found = found.withColumn("any_long", F.max("long").over(Window.partitionBy("rid", "passage"))).where("long OR NOT any_long")
-    return found.drop("rid", "long", "any_long", "beside")
+    """The paragraphs of every repeated passage."""
+    rows = numbered(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "rows"))
+    return repeated(rows).drop("rid", "cuts")
