@@ -1,4 +1,9 @@
-"""Public licence texts and notices, and spellings that count as the same word."""
+"""Public licence texts and notices, and spellings that count as the same word.
+
+Long texts lie in ``licence_files``, as their authors publish them.
+"""
+
+from pathlib import Path
 
 #: Word that is replaced, and the word it stands for.
 SPELLINGS = {
@@ -15,9 +20,7 @@ SPELLINGS = {
     "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
-_MIT = """MIT License
-
-Copyright (c) <year> <copyright holders>
+_MIT = """Copyright (c) <year> <copyright holders>
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -68,24 +71,41 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <http://unlicense.org/>
 """
 
-_MIT_BODY = _MIT.split("\n", 1)[1]
 _ZERO_BSD = "Copyright (C) <year> by <owner>\n\n" + _ISC_GRANT + ".\n\n" + _ISC_WARRANTY
 _ISC = "Copyright (c) <year> <owner>\n\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_WARRANTY
 
-#: (name, whole text); notices are whole texts that only refer to a licence.
-LICENCES = [
-    ("MIT", _MIT),
-    ("MIT", _MIT_BODY),
-    ("ISC", _ISC),
-    ("ISC", "ISC License\n\n" + _ISC),
-    ("0BSD", _ZERO_BSD),
-    ("BSD-2-Clause", _BSD_START + _BSD_END),
-    ("BSD-3-Clause", _BSD_START + _BSD_THIRD + _BSD_END),
-    ("Zlib", _ZLIB),
-    ("Zlib", "zlib License\n\n" + _ZLIB),
-    ("Unlicense", _UNLICENSE),
-    ("notice:Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("notice:MIT", "Released under the MIT License."),
-    ("notice:GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("notice:CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+#: (name, text without its head line, head lines that it is found with)
+_SHORT = [
+    ("MIT", _MIT, ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"]),
+    ("ISC", _ISC, ["ISC License", "The ISC License"]),
+    ("0BSD", _ZERO_BSD, ["BSD Zero Clause License", "Zero-Clause BSD"]),
+    ("BSD-2-Clause", _BSD_START + _BSD_END, ["BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"]),
+    ("BSD-3-Clause", _BSD_START + _BSD_THIRD + _BSD_END, ["BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"]),
+    ("Zlib", _ZLIB, ["zlib License", "The zlib/libpng License"]),
+    ("Unlicense", _UNLICENSE, ["The Unlicense", "Unlicense"]),
+]
+_NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+#: What follows these words tells how to apply a licence, and is often left out.
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _long() -> list[tuple[str, str]]:
+    out = []
+    for file in sorted((Path(__file__).parent / "licence_files").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        out.append((file.stem, text))
+        if _END in text:
+            out.append((file.stem, text[: text.index(_END) + len(_END)]))
+    return out
+
+
+_TEXTS = [(name, head + "\n\n" * bool(head) + text) for name, text, heads in _SHORT for head in ["", *heads]] + _long()
+_NAMES = sorted({name for name, _ in _TEXTS})
+
+#: (name, whole text); notices are whole texts that only refer to a licence.
+LICENCES = [*_TEXTS, *[(f"notice:{name}", text) for name, text in _NOTICES], *[(f"notice:{name}", f"SPDX-License-Identifier: {name}") for name in _NAMES]]
