@@ -1,13 +1,14 @@
 """Exact top-k search by a vector-approximation file.
 
-Vectors are kept in blocks: cell numbers of every component, a byte or so each, beside the exact
-integers.  A block of queries scans the cells of a block of vectors, which bound every inner product
-from both sides; only vectors whose upper bound reaches the k-th best lower bound are candidates, and
-their exact integers are read in order of that bound until the k-th result is certain.  The best k of
-all blocks are merged by a window.
-
-Query blocks meet vector blocks in an equi-join on (query block, lane): vector blocks are dealt over
-lanes, and query blocks, being a stated set, are sent to every lane.
+The approximation file holds a byte for each component of a vector: the number of one of 256 cells, which a block of
+vectors cuts the range of that component into.  It is written apart from the exact integers.  Queries come in
+blocks of bounded size, which are sent to the tasks; a scan of the cells bounds every inner product from both sides.
+The file is scanned in rounds of growing size: the k-th best lower bound that the rounds before have found is
+carried into the next, and only vectors whose upper bound reaches it become candidates.  The exact vectors of
+candidates are then read in the order of their upper bounds, until that of the next is below the k-th exact score.
+
+Vectors alike are one entry of the file, with the few least vec_ids that could be in a result, so that copies,
+which all tie, cost no more than one vector.  Neither vectors nor cells move after they are written.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from visitlens.llm.common import SECOND_SEED, Scratch
+
 SCALE = 256
-#: Vectors of a block, queries of a block.
-BLOCK, QUERY_BLOCK = 4096, 1024
-#: A cell is 2 ** CELL_BITS integers wide.
-CELL_BITS = 2
-#: Candidates whose exact integers are read at a time.
-READ = 32
+#: Vectors of a block of cells, at most, and queries that a task compares with a block at a time.
+BLOCK, TOGETHER = 4096, 256
+#: Bytes of queries that are sent to every executor, on average at most.
+QUERY_BYTES = 4 << 20
+#: A round scans so many times as many vectors as the one before; the first about a block.
+GROWTH = 8
+#: Exact vectors that a query reads first; later reads are larger.
+READ = 16
+_RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def usable(vector: Column) -> Column:
@@ -42,113 +48,186 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * float(scale)).cast("long")).alias("q"))
 
 
-def pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of at most ``size`` vectors of one dimension: dim, block, n, ids, q (both int64 bytes)."""
+def entries(vectors: DataFrame, k: int) -> DataFrame:
+    """(q, ids): each distinct vector with the vec_ids that can be in a result.
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+    These are its k + 1 least (one may be the query's own), each as often as it occurs, k times at most.  Ranks are
+    limited before rows move, so a vector with a third of all rows is no larger than others.
+    """
+    keyed = vectors.withColumn("h1", F.xxhash64("q")).withColumn("h2", F.xxhash64("q", F.lit(SECOND_SEED)))
+    copy = F.row_number().over(Window.partitionBy("h1", "h2", "vec_id").orderBy("h1"))
+    few = keyed.withColumn("copy", copy).where(F.col("copy") <= k)
+    place = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    fewer = few.withColumn("place", place).where(F.col("place") <= k + 1)
+    return fewer.groupBy("h1", "h2").agg(F.first("q").alias("q"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("q", "ids")
 
-        def block(dim: int) -> pd.DataFrame:
-            part = held.pop(dim)
-            ids = np.array([x[0] for x in part], dtype=np.int64)
-            q = np.array([x[1] for x in part], dtype=np.int64).reshape(len(part), dim)
-            return pd.DataFrame({"dim": [dim], "n": [len(part)], "first": [ids.min()], "ids": [ids.tobytes()], "q": [q.tobytes()]})
 
-        for batch in batches:
-            for i, v in zip(batch["vec_id"], batch["q"], strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= size:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
-
-    return rows.mapInPandas(fill, "dim int, n int, first long, ids binary, q binary")
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, cell_bits: int = CELL_BITS) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the best k vectors of one block for each query; ties to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    dim = vectors.shape[1]
-    cells = vectors >> cell_bits
-    largest = max(int(np.abs(vectors).max(initial=0)), int(np.abs(queries).max(initial=0))) + (1 << cell_bits)
-    # sums are exact in these types
-    kind = np.float32 if largest * largest * max(dim, 1) < 1 << 24 else np.float64 if largest * largest * max(dim, 1) < 1 << 53 else object
-    low = (cells << cell_bits).astype(kind)
-    high = low + ((1 << cell_bits) - 1)
-    plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    upper = plus @ high.T + minus @ low.T
-    lower = plus @ low.T + minus @ high.T
-    exact_kind = np.int64 if kind is not object else object
-    vectors, queries = vectors.astype(exact_kind), queries.astype(exact_kind)
-    out = []
-    for i, query_id in enumerate(query_ids):
-        allowed = ids != query_id
-        n = int(allowed.sum())
-        if not n:
-            continue
-        least = np.partition(lower[i][allowed], max(n - k, 0))[max(n - k, 0)]
-        candidates = np.flatnonzero(allowed & (upper[i] >= least))
-        bounds = upper[i][candidates]
-        by_bound = np.argsort(-bounds, kind="stable")
-        candidates, bounds = candidates[by_bound], bounds[by_bound]
-        best_score = np.empty(0, dtype=exact_kind)
-        best_at = np.empty(0, dtype=np.int64)
-        for at in range(0, len(candidates), READ):
-            if len(best_score) >= k and bounds[at] < best_score[k - 1]:
-                break
-            some = candidates[at : at + READ]
-            best_at = np.concatenate((best_at, some))
-            best_score = np.concatenate((best_score, vectors[some] @ queries[i]))
-            top = np.lexsort((best_at, -best_score))[:k]
-            best_at, best_score = best_at[top], best_score[top]
-        out += [(int(query_id), int(ids[a]), int(s)) for a, s in zip(best_at, best_score, strict=True)]
-    return out
+def approximate(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The approximation file of (entry, round, ids, q): blocks of at most ``size`` vectors of one round and dimension.
+
+    A block has its cells (n x dim bytes), the lower end and the width of the cells of each component, the entries, and
+    the sole vec_id of each entry that has only one.
+    """
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
 
+        def block(key: tuple[int, int]) -> pd.DataFrame:
+            part = held.pop(key)
+            q = np.array([x[2] for x in part], dtype=np.int64).reshape(len(part), key[1])
+            low, width, cells = cut(q)
+            sole = np.array([(1, x[1][0]) if x[1][0] == x[1][-1] else (0, 0) for x in part], dtype=np.int64)
+            return pd.DataFrame([(key[0], key[1], np.array([x[0] for x in part], dtype=np.int64).tobytes(), sole.tobytes(), low.tobytes(), width.tobytes(), cells.tobytes())], columns=names)
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lanes: int | None = None) -> DataFrame:
+        for batch in batches:
+            for entry, round_, ids, q in zip(batch["entry"], batch["round"], batch["ids"], batch["q"], strict=True):
+                key = (int(round_), len(q))
+                held.setdefault(key, []).append((entry, ids, q))
+                if len(held[key]) >= size:
+                    yield block(key)
+        for key in list(held):
+            yield block(key)
+
+    names = ["round", "dim", "entries", "sole", "low", "width", "cells"]
+    return rows.select("entry", "round", "ids", "q").mapInPandas(fill, "round int, dim int, entries binary, sole binary, low binary, width binary, cells binary")
+
+
+def cut(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, width, cells) of integers: q lies in low + width * cell + [0, width)."""
+    low = q.min(axis=0) if len(q) else np.zeros(q.shape[1], dtype=np.int64)
+    span = q.astype(np.uint64) - low.astype(np.uint64)  # right even where int64 would overflow
+    width = span.max(axis=0, initial=0) // np.uint64(256) + np.uint64(1)
+    return low, width, (span // width).astype(np.uint8)
+
+
+def bounds(queries: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, lower) bounds of the inner products of queries and the vectors in these cells."""
+    q, base, w = queries.astype(np.float64), low.astype(np.float64), width.astype(np.float64)
+    size = float((np.abs(q).max(axis=0, initial=0) * (np.abs(base) + 256 * w)).sum())
+    # sums of integers are exact in these types; beyond that, a margin covers the rounding
+    kind = np.float32 if size < 1 << 24 else np.float64
+    corner = (q * w).astype(kind) @ cells.astype(kind).T + (q @ base)[:, None].astype(kind)
+    margin = size * 2.0**-40 if size >= 1 << 53 else 0.0
+    upper = corner + (np.maximum(q, 0) @ (w - 1) + margin)[:, None]
+    return upper, corner + (np.minimum(q, 0) @ (w - 1) - margin)[:, None]
+
+
+def scan_block(queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, block: tuple, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, vector, upper, lower) of the candidates of a block, by places in it; ``least`` is a bound of the k-th score so far."""
+    sole, low, width, cells = block
+    for first in range(0, len(queries), TOGETHER):
+        some = slice(first, first + TOGETHER)
+        upper, lower = bounds(queries[some], low, width, cells)
+        own = (sole[:, 0] == 1) & (query_ids[some, None] == sole[:, 1])
+        lower = np.where(own, -np.inf, lower)
+        kth = np.partition(lower, len(sole) - k, axis=1)[:, len(sole) - k] if len(sole) >= k else np.full(len(lower), -np.inf)
+        q, v = np.nonzero(~own & (upper >= np.maximum(kth, least[some])[:, None]))
+        yield q + first, v, upper[q, v], lower[q, v]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors with the largest inner product for each query.
 
-    Both frames have vec_id and embedding.  A query never finds its own vec_id; ties go to the smaller
-    vec_id; fewer than k others give fewer rows.  Vectors that are null, or hold null or non-finite
-    components, take no part; vectors of different length don't meet; rows repeated in full are found
-    each, with ranks of their own.  Empty tables give no rows.
+    Both frames have vec_id and embedding; other columns aren't read, so their names don't matter.  A query never finds
+    its own vec_id; ties go to the smaller vec_id; fewer than k others give fewer rows.  Vectors that are null, or
+    hold null or non-finite components, take no part, as a row without a vec_id; vectors of different length don't
+    meet; very long vectors are compared whole; rows repeated in full are found each, with ranks of their own, but asked
+    once.  A score beyond a long is the nearest long.  Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    lanes = lanes or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    data = pack(quantised(vectors), BLOCK).withColumn("lane", F.pmod(F.xxhash64("first", "n"), F.lit(lanes)).cast("int"))
+    scratch = Scratch(spark, "vafile")
+    exact = scratch.save(entries(quantised(vectors), k).withColumn("entry", F.monotonically_increasing_id()), "exact")
+    n = exact.count()
+    rounds = 1 + max(0, math.ceil(math.log(max(1, n / block), GROWTH)))
+    # round r has GROWTH ** r parts of all
+    ends = np.cumsum([GROWTH**r for r in range(rounds)])
+    share = F.pmod(F.xxhash64("entry"), F.lit(int(ends[-1])))
+    round_ = F.lit(0)
+    for e in ends[:-1].tolist():
+        round_ = round_ + (share >= e).cast("int")
+    cells = scratch.save(approximate(exact.withColumn("round", round_), block), "cells", by="round")
     asked = quantised(queries).dropDuplicates(["vec_id", "q"])
-    n_queries = asked.count()
-    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    dealt = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-
-    def fill(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(d, g) for d, g in rows.groupby(rows["q"].map(len))]
-        return pd.DataFrame(
-            [(keys[0], int(d), g["vec_id"].to_numpy(np.int64).tobytes(), np.array(list(g["q"]), dtype=np.int64).reshape(len(g), int(d)).tobytes()) for d, g in parts],
-            columns=["query_block", "dim", "query_ids", "query_q"],
-        )
-
-    packed = dealt.groupBy("query_block").applyInPandas(fill, "query_block int, dim int, query_ids binary, query_q binary")
-    sent = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    asking = data.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    met = asking.join(sent, ["query_block", "lane", "dim"]).select("dim", "ids", "q", "query_ids", "query_q")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    size = asked.agg(F.sum(F.size("q") * 8 + 16)).first()[0] or 0
+    blocks = max(1, -(-size // query_bytes))
+    dealt = scratch.save(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "q"), F.lit(blocks))), "queries", by="block")
+    found = [_search(dealt.where(F.col("block") == b), exact, cells, rounds, k, scratch) for b in range(blocks)]
+    out = spark.createDataFrame([], _RESULT)
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
+def _search(queries: DataFrame, exact: DataFrame, cells: DataFrame, rounds: int, k: int, scratch: Scratch) -> DataFrame:
+    """The results of one block of queries, which fits in the memory of the driver and of every task."""
+    spark = queries.sparkSession
+    by_dim: dict[int, list] = {}
+    for r in queries.select("vec_id", "q").collect():  # about QUERY_BYTES
+        by_dim.setdefault(len(r.q), []).append((r.vec_id, r.q))
+    packed, numbered_, at = {}, [], 0
+    for dim, rows in sorted(by_dim.items()):
+        packed[dim] = (at, np.array([i for i, _ in rows], dtype=np.int64), np.array([q for _, q in rows], dtype=np.int64).reshape(len(rows), dim))
+        numbered_ += [(at + j, i, q) for j, (i, q) in enumerate(rows)]
+        at += len(rows)
+    if not at:
+        return spark.createDataFrame([], _RESULT)
+    least = np.full(at, -np.inf)
+    candidates: DataFrame | None = None
+    for r in range(rounds):
+        sent = spark.sparkContext.broadcast((packed, least))
+        new = scratch.save(_scan(cells.where(F.col("round") == r), sent, k), "candidates")
+        sent.destroy()
+        candidates = new if candidates is None else candidates.unionByName(new)
+        least = np.maximum(least, _kth(candidates, "lower", k, at))
+    bound = spark.createDataFrame(list(enumerate(least.tolist())), "query int, least double")
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "entry")
+    kept = candidates.join(F.broadcast(bound), "query").where("upper >= least").select("query", "entry", "upper")
+    ordered = scratch.save(kept.withColumn("place", F.row_number().over(order)), "ordered")
+    asked = F.broadcast(spark.createDataFrame(numbered_, "query int, query_id long, asked array<long>"))
+    exactly = F.aggregate(F.zip_with("q", "asked", lambda a, b: F.try_multiply(a, b)), F.lit(0).cast("long"), lambda x, y: F.try_add(x, y))
+    about = F.aggregate(F.zip_with("q", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    product = F.coalesce(exactly, F.when(about < 0, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)))
+    scored, done, read = None, 0, READ
+    while True:
+        bound = F.broadcast(spark.createDataFrame(list(enumerate(least.tolist())), "query int, least double"))
+        more = ordered.where(F.col("place") > done).join(bound, "query").where("upper >= least")
+        if scored is not None and more.isEmpty():
+            break
+        next_ = more.where(F.col("place") <= done + read).select("query", "entry").join(exact, "entry").join(asked, "query")
+        next_ = scratch.save(next_.select("query", "query_id", "ids", product.alias("score")), "scored")
+        scored = next_ if scored is None else scored.unionByName(next_)
+        # no vector beyond this one is certain to be left out before its bound is below the k-th exact score
+        least = np.maximum(least, _kth(scored, "score", k, at))
+        done, read = done + read, read * 4
+    pairs = scored.select("query", "query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _kth(rows: DataFrame, column: str, k: int, n: int) -> np.ndarray:
+    """The k-th largest value of ``column`` for each of ``n`` queries, as each row is one vector at least."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("v")))
+    out = np.full(n, -np.inf)
+    for r in rows.select("query", F.col(column).cast("double").alias("v")).withColumn("place", place).where(F.col("place") <= k).where(F.col("place") == k).collect():
+        out[r.query] = r.v * (1 + 1e-15 * np.sign(-r.v)) if abs(r.v) >= 1 << 53 else r.v
+    return out
+
+
+def _scan(cells: DataFrame, sent, k: int) -> DataFrame:
+    """(query, entry, upper, lower) of the candidates in a round's cells."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packed, least = sent.value
         for batch in batches:
-            for dim, ids, q, query_ids, query_q in batch.itertuples(index=False):
-                found = search_block(
-                    np.frombuffer(query_q, dtype=np.int64).reshape(-1, dim) if dim else np.zeros((len(query_ids) // 8, 0), dtype=np.int64),
-                    np.frombuffer(query_ids, dtype=np.int64),
-                    np.frombuffer(q, dtype=np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), dtype=np.int64),
-                    np.frombuffer(ids, dtype=np.int64),
-                    k,
-                )
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    best = met.mapInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for dim, entry, sole, low, width, codes in batch.itertuples(index=False):
+                if dim not in packed:
+                    continue
+                first, ids, queries = packed[dim]
+                entry = np.frombuffer(entry, dtype=np.int64)
+                block = (np.frombuffer(sole, dtype=np.int64).reshape(-1, 2), np.frombuffer(low, dtype=np.int64), np.frombuffer(width, dtype=np.uint64), np.frombuffer(codes, dtype=np.uint8).reshape(len(entry), dim))
+                for q, v, upper, lower in scan_block(queries, ids, least[first : first + len(ids)], block, k):
+                    yield pd.DataFrame({"query": (q + first).astype(np.int32), "entry": entry[v], "upper": upper.astype(np.float64), "lower": lower.astype(np.float64)})
+
+    return cells.select("dim", "entries", "sole", "low", "width", "cells").mapInPandas(scan, "query int, entry long, upper double, lower double")
 
 
 SQL = """
