@@ -3,7 +3,8 @@ from collections import defaultdict
 
 import pytest
 
-from visitlens.llm import queries
+from visitlens.llm import mixing, queries
+from visitlens.llm.common import Scratch, numbered
 from visitlens.llm.mixing import mix, mix_documents, source_targets, word_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,8 +72,9 @@ def test_chances(make_docs):
     """A document's copies are right on average over seeds."""
     docs = make_docs(["w " * (1 + i % 5) for i in range(60)], sources=["a", "b", "c"] * 20).coalesce(1)
     total, due = defaultdict(float), {}
+    rows = numbered(docs, Scratch(docs.sparkSession, "rows"))
     for seed in range(40):
-        for r in mix(docs, seed=seed).collect():
+        for r in mixing._mix(rows, mixing.WEIGHTS, seed).collect():
             total[r.doc_id] += r.copies / 40
             due[r.doc_id] = r.target / r.source_size
     assert sum(abs(total[i] - due[i]) for i in total) / len(total) < 0.12
@@ -84,6 +86,15 @@ def test_targets(spark):
     assert {r.source: r.target for r in source_targets(df).collect()} == pytest.approx(targets(sizes))
 
 
+def test_many_sources(spark):
+    """Places of sources are counted across the parts of a sorted table."""
+    sizes = {f"s{i:04d}": 1 + (i * 7919) % 500 for i in range(900)} | {None: 3}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(9)
+    got = source_targets(df).collect()
+    assert [r.source for r in sorted(got, key=lambda r: r.source_no)] == [*sorted(s for s in sizes if s), None]
+    assert {r.source: r.target for r in got} == pytest.approx(targets(sizes))
+
+
 def test_words(make_docs):
     texts = ["a b", None, " ", "\x0b\x0c", "a b"]
     got = make_docs(texts)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.llm.common import Scratch, shield, unit_interval, with_row_id
+from visitlens.llm.common import Scratch, if_small, numbered, shield, unit_interval
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -35,24 +35,41 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def _numbered_sources(per: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sources with their place ``i`` in the order of names, null last; no task sees more than its part of them.
+
+    The sorted table is written with its rows counted within each part; what precedes a part is a sum over parts.
+    """
+    sorted_ = scratch.save(per.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    counts = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n_part"))
+    # a row for each part of the sorted table, however many sources there are
+    ahead = counts.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("ahead"))
+    return sorted_.withColumn("part", part).join(ahead, "part").withColumn("i", F.col("ahead") + within).drop("at", "part", "ahead")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """A row for each source: its size, rows and target.  Reads one aggregated row a source.
+    """A row for each source: its size, rows and target.
 
-    Targets are ``min(most * size, level * weight)`` with the one level that spends the total: sources in
-    order of ``most * size / weight`` are full for as long as the level left for the others reaches them.
+    Targets are ``min(most * size, level * weight)`` with the one level that spends the total.  The level starts from
+    shares by weight alone; as long as some target is above its cap, the excess of those is shared among the others.
+    Each turn is one aggregation to three numbers and fills at least one more source.
     """
+    scratch = Scratch(sizes.sparkSession, "targets")
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights)).cast("int") + 1)
-    per = per.withColumn("i", F.row_number().over(order) - 1).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "i")
-    all_rows = Window.partitionBy(F.lit(0))
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("level", (F.sum("source_size").over(all_rows) - before) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-    per = per.withColumn("full", F.col("level") * F.col("weight") >= F.col("cap"))
-    level = F.max(F.when(~F.col("full"), F.struct(-F.col("cap") / F.col("weight"), -F.col("i"), F.col("level").alias("level")))).over(all_rows)["level"]
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
-    return per.select("source", "source_size", "n", F.col("i").cast("long").alias("source_no"), F.least(target, F.col("cap").cast("double")).alias("target"))
+    per = _numbered_sources(per, scratch).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
+    per = scratch.save(per, "sources")
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        above = F.col("cap") <= F.lit(level) * F.col("weight")
+        spent, free, now = per.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight"))), F.count(F.when(above, 1))).first()
+        if now == full or not free:
+            break
+        level, full = (total - (spent or 0)) / free, now
+    target = F.least(F.lit(level) * F.col("weight"), F.col("cap").cast("double"))
+    return per.select("source", "source_size", "n", F.col("i").cast("long").alias("source_no"), F.when(above, F.col("cap").cast("double")).otherwise(target).alias("target"))
 
 
 def _fold(elements: Column, level: int, seed: int) -> Column:
@@ -87,23 +104,25 @@ def _fold(elements: Column, level: int, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """Copies of every document: rid, doc_id, size, source_size, target, copies.
+    """Copies of every document: rid (its row number), doc_id, size, source_size, target, copies.
 
     Null and empty texts have size 0 and go into the mix as often as the whole part of their source's
     rate says; they take no words.  A null source is a source of its own, the last.  Repeated rows are
-    rounded one by one.  The same table gives the same copies.  Needs doc_id, text and source only.
+    rounded one by one.  Very long texts are counted whole.  The same table gives the same copies; an empty one none.
+    Needs doc_id, text and source; other columns aren't read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    return _mix(numbered(docs.select("doc_id", "text", "source"), Scratch(docs.sparkSession, "rows")), weights, seed)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], seed: int) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "mix")
     text_hash = F.xxhash64("doc_id", "text", F.lit(seed))
-    sizes = scratch.save(
-        with_row_id(docs.select("doc_id", "text", "source")).select("rid", F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size"), text_hash.alias("h")),
-        "sizes",
-    )
+    sizes = scratch.save(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), text_hash.alias("h")), "sizes")
     targets = scratch.save(source_targets(sizes, weights), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0))
     stats = targets.withColumn("base", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate)).withColumn("buckets", F.ceil(F.col("n") / BLOCK))
-    joined = sizes.alias("d").join(F.broadcast(stats.alias("s")) if targets.count() <= 100_000 else stats.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    stats = if_small(stats, 64 + F.coalesce(F.octet_length("source"), F.lit(0)))
+    joined = sizes.alias("d").join(stats.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     fractional = (F.col("p") > 0) & (F.col("size") > 0)
     rows = joined.select("source_no", "base", "source_size", "target", "buckets", "h", "rid", "doc_id", "size", "p")
 
@@ -114,7 +133,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) ->
     most = targets.agg(F.max("n")).first()[0] or 0
     buckets, results, level = math.ceil(most / BLOCK), [whole], 0
     while most:
-        bucket = F.pmod(F.xxhash64(F.col("e.h"), F.lit(level)), F.greatest(F.col("buckets"), F.lit(1)))
+        # the row's number takes part, so that rows repeated in full are dealt over all buckets
+        bucket = F.pmod(F.xxhash64(F.col("e.h"), F.col("e.rid"), F.lit(level)), F.greatest(F.col("buckets"), F.lit(1)))
         dealt = level_in.withColumn("bucket", bucket)
         if buckets > 1:  # else what is left of a source meets in one block
             order = Window.partitionBy("source_no", "bucket").orderBy("e.h", "e.rid")
@@ -138,10 +158,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) ->
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """The mix itself: every document as often as ``mix`` says, with the columns of ``docs``."""
+    """The mix itself: every document as often as ``mix`` says, with the columns of ``docs``.
+
+    Null and empty texts, a null source, ties, repeated rows and an empty table are treated as ``mix`` says;
+    columns of any name pass through as they are.
+    """
     safe, restore = shield(docs)
-    copies = mix(safe, weights, seed).where("copies > 0").select("rid", "copies")
-    return restore(with_row_id(safe).join(copies, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    rows = numbered(safe, Scratch(docs.sparkSession, "rows"))
+    copies = _mix(rows.select("rid", "doc_id", "text", "source"), weights, seed).where("copies > 0").select(F.col("rid").alias("rid2"), "copies")
+    return restore(rows.join(copies, F.col("rid") == F.col("rid2")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def report(docs: DataFrame) -> DataFrame:
