@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from visitlens.llm import queries, urlfilter
 from visitlens.llm.urlfilter import RULES, build, judge, match
@@ -31,10 +32,14 @@ def test_whole_table(same_as_oracle):
 
 
 @pytest.mark.parametrize("most", [urlfilter.MAX_TRIE_BYTES, 0])
-def test_cases(spark, monkeypatch, most):
+def test_cases(spark, monkeypatch, clashes, most):
     monkeypatch.setattr(urlfilter, "MAX_TRIE_BYTES", most)
     pages = spark.createDataFrame([(i, u, "x", "y") for i, (u, _, _) in enumerate(CASES)], "page_id long, url string, _host string, html string")
-    got = {r.page_id: (r.rule, r.verdict) for r in judge(pages).collect()}
+    clashing = pages.withColumns({k: F.lit(v) for k, v in clashes.items()})
+    out = judge(clashing)
+    assert set(out.columns) == set(clashing.columns) and len(out.columns) == len(clashing.columns)
+    got = {r.page_id: (r["rule"], r["verdict"]) for r in judge(pages).collect()}
+    assert got == {r.page_id: (r["rule"], r["verdict"]) for r in out.collect()}
     assert got == {i: (r, v) for i, (_, r, v) in enumerate(CASES)}
     assert judge(pages.where("false")).count() == 0
 

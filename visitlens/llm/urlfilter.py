@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.llm.common import Scratch, numbered, shield
+
 #: (host, path, verdict); fixed values of the production rule set.
 RULES = [
     ("com", "/", "allow"),
@@ -98,16 +100,19 @@ def host_path(pages: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
-    """Add ``host``, ``path``, ``rule`` and ``verdict`` to every page.
+    """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``, which replace columns of these names.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest rule
     wins, whether it allows or blocks; without one the verdict is ``default`` and the rule null.  A null
-    url has an empty host and path.  Repeated rows are judged each; an empty table stays empty.  Rule
-    sets above MAX_TRIE_BYTES aren't broadcast but joined by host suffix.
+    url, an empty one or one without ``://`` has an empty host and path.  Very long urls are read whole.  Of two
+    equal rules the one that blocks wins.  Repeated rows are judged each; an empty table stays empty; other
+    columns pass through, whatever their names.  Rule sets above MAX_TRIE_BYTES aren't broadcast but joined by host suffix.
     """
-    parsed = host_path(pages)
+    safe, restore = shield(pages, ("url",))
+    parsed = host_path(safe)
     if sum(len(h.encode()) + len(p.encode()) for h, p, _ in rules) > MAX_TRIE_BYTES:
-        return judge_by_join(parsed, pages.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string"), default)
+        by_join = judge_by_join(host_path(numbered(safe, Scratch(pages.sparkSession, "pages"))), pages.sparkSession.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string"), default)
+        return restore(by_join, "host", "path", "rule", "verdict")
     sent = pages.sparkSession.sparkContext.broadcast(build(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -117,23 +122,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
             found = [match(root, h, p) or (None, default) for h, p in zip(host, path, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return parsed.withColumn("_found", look("host", "path")).select("*", "_found.rule", "_found.verdict").drop("_found")
+    found = parsed.withColumn("found", look("host", "path")).withColumns({"rule": F.col("found.rule"), "verdict": F.col("found.verdict")})
+    return restore(found, "host", "path", "rule", "verdict")
 
 
 def judge_by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for rule sets of any size: host suffixes of a page meet the rules of that host in an equi-join."""
+    """The same for rule sets of any size: host suffixes of a page (with ``rid``, a row number) meet the rules of that host in an equi-join."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = parsed.withColumn("_row", F.monotonically_increasing_id())
     strength = F.struct(F.length("rule_host").alias("h"), F.length("rule_path").alias("p"), (F.col("rule_verdict") == "block").alias("b"))
     best = (
-        keyed.select("_row", "path", F.explode(suffixes).alias("_host"))
-        .join(rules.select(F.lower("rule_host").alias("_host"), "rule_host", "rule_path", "rule_verdict"), "_host")
+        parsed.select("rid", "path", F.explode(suffixes).alias("suffix"))
+        .join(rules.select(F.lower("rule_host").alias("suffix"), "rule_host", "rule_path", "rule_verdict"), "suffix")
         .where(F.col("path").startswith(F.col("rule_path")))
-        .groupBy("_row")
-        .agg(F.max_by(F.struct(F.concat(F.lower("rule_host"), "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), strength).alias("_best"))
+        .groupBy("rid")
+        .agg(F.max_by(F.struct(F.concat(F.lower("rule_host"), "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), strength).alias("best"))
     )
-    return keyed.join(best, "_row", "left").select(*parsed.columns, F.col("_best.rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return parsed.join(best, "rid", "left").withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
 
 
 SQL = r"""
