@@ -6,7 +6,9 @@ has the same paragraphs wherever it is pasted, whatever sentences, lines or scri
 SPAN + WORDS words or more holds a whole paragraph for certain.
 
 Paragraphs that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
-classes.  Neighbours in a document are linked where another document has paragraphs of the same two classes
+classes.  WORDS words are 12 shingles, so sets that are SIMILARITY alike are equal (one other shingle makes 0.846) and share
+every band: a band may have as many rows as it takes to keep others out.  A passage with edits is found by its
+paragraphs between them.  Neighbours in a document are linked where another document has paragraphs of the same two classes
 with the same words between them; linked paragraphs make up a run, which is followed word by word beyond its ends,
 as far as another document has the same words there.  Runs of MIN_RUN words or more are repeated passages; in
 every class the first paragraph is kept and the others are removed.
@@ -23,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.llm.candidates import classes, colliding
+from visitlens.llm.candidates import classes
 from visitlens.llm.common import Scratch, if_small, numbered, shield, slices
 from visitlens.llm.shingles import SHINGLE, fold, hash_words, mix64, numbers_of, shingle_numbers
 
-SIMILARITY = 0.8
-#: A pair at the threshold shares one of 6 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.998; equal ones always.
-BANDS, ROWS = 6, 2
+SIMILARITY = 0.9
+#: Of pairs that are alike enough every one shares a band; of pairs that differ in one shingle 0.846 ** 12 = 0.13, in a word within 1e-4.
+BANDS, ROWS = 1, 12
 #: Words of a paragraph; word pairs in a row of which one begins a paragraph; words of a repeated passage, at least.
 WORDS, SPAN, MIN_RUN = 16, 34, 50
 
@@ -158,32 +160,28 @@ def verifier(sets: DataFrame, similarity: float):
     return verify
 
 
-def _doc_order(*more: str) -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", *more)
-
-
 def classified(docs: DataFrame, scratch: Scratch, similarity: float, bands: int, rows: int) -> DataFrame:
-    """The paragraphs whose class lies in several documents: rid, doc_id, seq, first_word, gap, class_id, class_size, first (place of the class's first)."""
+    """The paragraphs whose class lies in several documents: rid, doc_id, seq, first_word, gap, class_id, class_size, first_rid (the class's first document)."""
     units = scratch.save(find_paragraphs(docs, bands, rows), "paragraphs")
-    first = _doc_order("first_word")
-    nodes = units.groupBy("k1", "k2").agg(F.min(F.struct(first.alias("o"), "bands")).alias("f"), F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"))
-    nodes = nodes.select("k1", "k2", F.col("f.o").alias("first"), F.col("f.bands").alias("bands"), "low", "high", "n")
+    shared = units.select("k1", "k2", F.explode("bands").alias("band")).groupBy("band").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d")).where("a <> b OR c <> d")
+    shared = scratch.save(shared.select("band"), "shared")
+    nodes = units.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"), *[F.min(F.col("bands")[b]).alias(f"band{b}") for b in range(bands)])
+    # a paragraph that occurs once and shares no band has no class
+    listed = nodes.withColumn("band", F.explode(F.array(*[f"band{b}" for b in range(bands)]))).join(shared.withColumn("hit", F.lit(True)), "band", "left").where("n > 1 OR hit")
+    several = listed.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in ("low", "high", "n")], F.collect_set(F.when(F.col("hit"), F.col("band"))).alias("bands"))
     # one number for each distinct paragraph
-    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = colliding(nodes.select("node", F.explode("bands").alias("band")), scratch)
-    banded = scratch.save(members.select("node").distinct(), "banded")
-    some = nodes.drop("bands").join(banded.withColumn("banded", F.lit(True)), "node", "left").where("n > 1 OR banded")
-    some = scratch.save(some, "some")  # a paragraph that occurs once and shares no band has no class
-    scratch.drop(nodes, banded)
-    wanted = some.where("banded").select(F.col("first.rid").alias("rid"), F.col("first.first_word").alias("first_word"), "node")
+    nodes = scratch.save(several.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = scratch.save(nodes.select("node", F.explode("bands").alias("band")), "members")
+    scratch.drop(shared)
+    wanted = units.join(nodes.where(F.size("bands") > 0).select("k1", "k2", "node", "low"), ["k1", "k2"]).where("rid = low").groupBy("rid", "node").agg(F.min("first_word").alias("first_word"))
     sets = scratch.save(shingle_sets(docs, wanted), "shingles")
-    listed = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
-    label = classes(members, verifier(sets, similarity), lambda x: listed.join(x, "node", "left_semi"), similarity, scratch)
+    flat = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
+    label = classes(members, verifier(sets, similarity), lambda x: flat.join(x, "node", "left_semi"), similarity, scratch)
     scratch.drop(sets)
-    known = scratch.save(some.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
-    scratch.drop(some)
-    per = known.groupBy("label").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("low <> high")
-    per = scratch.save(per.drop("low", "high"), "per")
+    known = scratch.save(nodes.drop("bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
+    scratch.drop(nodes)
+    per = known.groupBy("label").agg(F.min("low").alias("first_rid"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("first_rid <> high")
+    per = scratch.save(per.drop("high"), "per")
     several = scratch.save(known.select("k1", "k2", "label").join(per, "label").withColumnRenamed("label", "class_id"), "classes")
     scratch.drop(known, per)
     out = scratch.save(units.drop("bands").join(several, ["k1", "k2"]).drop("k1", "k2"), "hits")
@@ -192,24 +190,25 @@ def classified(docs: DataFrame, scratch: Scratch, similarity: float, bands: int,
 
 
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, min_run: int = MIN_RUN) -> DataFrame:
-    """A row for each paragraph of a repeated passage: rid, doc_id, seq, first_word, n_words, class_id, class_size, first_doc_id, kept, passage, passage_first_word, passage_words, cuts.
+    """A row for each paragraph of a repeated passage: rid, doc_id, seq, first_word, n_words, class_id, class_size, kept, passage, passage_first_word, passage_words, cuts.
 
-    ``docs`` has rid, doc_id and text.  ``passage`` numbers the runs of a document by their first paragraph, ``cuts`` has the
-    words of the passage beside its paragraphs that an earlier document has too.  Passages repeated within one document
-    alone are left alone, as are null, empty and short texts; very long ones are taken whole.  Rows repeated in full
-    are documents of their own.  Documents alike in doc_id are told apart by their place in the table; null
-    doc_ids come last.  An empty table gives no rows.
+    ``docs`` has rid, doc_id and text.  A paragraph is ``kept`` in the first document of its class, by place in the table.
+    ``passage`` numbers the runs of a document by their first paragraph, ``cuts`` has the words of the passage beside its
+    paragraphs that an earlier document has too.  Passages repeated within one document alone are left alone, as are
+    null, empty and short texts; very long ones are taken whole.  Rows repeated in full, and documents alike in doc_id
+    or without one, are documents of their own.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     hits = classified(docs, scratch, similarity, bands, rows)
     at = Window.partitionBy("rid").orderBy("seq")
     joint = F.when(F.lag("seq").over(at) == F.col("seq") - 1, F.xxhash64(F.lag("class_id").over(at), F.lag("gap").over(at), "class_id"))
-    pairs = scratch.save(hits.withColumn("joint", joint).withColumn("ahead", F.lag("first_word").over(at)), "pairs")
+    pairs = hits.withColumn("joint", joint).withColumn("ahead", F.lag("first_word").over(at)).withColumn("class_ahead", F.lag("class_id").over(at))
+    pairs = scratch.save(pairs.drop("gap"), "pairs")
     scratch.drop(hits)
-    several = pairs.where("joint IS NOT NULL").groupBy("joint").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(_doc_order()).alias("o")).where("low <> high")
-    several = scratch.save(several.select("joint", F.col("o.rid").alias("joint_rid")), "joints")
+    several = pairs.where("joint IS NOT NULL").groupBy("joint").agg(F.min("rid").alias("joint_rid"), F.max("rid").alias("high")).where("joint_rid <> high")
+    several = scratch.save(several.drop("high"), "joints")
     linked = pairs.join(several, "joint", "left")
-    run = linked.withColumn("run", F.sum(F.when(F.col("joint_rid").isNull(), 1).otherwise(0)).over(at)).drop("joint", "gap")
+    run = linked.withColumn("run", F.sum(F.when(F.col("joint_rid").isNull(), 1).otherwise(0)).over(at)).drop("joint")
     run = scratch.save(run, "runs")
     scratch.drop(pairs, several)
     edge = F.col("first_word") + WORDS
@@ -223,34 +222,33 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
         F.collect_list(F.when((F.col("joint_rid") != F.col("rid")) & (F.col("first_word") > F.col("ahead") + WORDS), F.struct((F.col("ahead") + WORDS).alias("a"), F.col("first_word").alias("b")))).alias("gaps"),
     )
     per = scratch.save(per, "islands")
-    # a run may end where the other document's goes on, so paragraphs of a class that ends some run are all followed
-    heads = per.select(F.col("head").alias("class_id"), F.lit(0).alias("side")).unionByName(per.select(F.col("tail").alias("class_id"), F.lit(1).alias("side"))).distinct()
-    heads = scratch.save(heads, "heads")
-    edges = run.select("rid", "run", "class_id", "first_word").join(heads, "class_id")
-    edges = edges.select("rid", "run", "side", F.when(F.col("side") == 0, F.col("first_word")).otherwise(F.col("first_word") + WORDS).alias("at"), "class_id")
-    grown = extensions(docs, edges, scratch)
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("end").alias("at"))))
-    grown = grown.join(per.select("rid", "run", sides.alias("e")).select("rid", "run", "e.*"), ["rid", "run", "side", "at"])
+    both = lambda start, head, end, tail: F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.expr(at_).alias("at"), F.col(c).alias("class_id")) for i, at_, c in ((0, start, head), (1, end, tail))]))
+    ends = per.select("rid", "run", both("start", "head", "end", "tail").alias("e")).select("rid", "run", "e.*")
+    ends = scratch.save(ends, "ends")
+    # a run may end where another document's goes on: of every link, the first document shows what is beside its paragraphs
+    shown = run.where(F.col("rid") == F.col("joint_rid")).select("rid", "run", both("first_word", "class_id", f"ahead + {WORDS}", "class_ahead").alias("e")).select("rid", "run", "e.*")
+    shown = shown.join(ends.select("side", "class_id").distinct(), ["side", "class_id"], "left_semi")
+    edges = scratch.save(ends.withColumn("own", F.lit(True)).unionByName(shown.withColumn("own", F.lit(False))).withColumn("edge", F.monotonically_increasing_id()), "edges")
+    grown = edges.where("own").select("rid", "run", "side", "edge").join(extensions(docs, edges, scratch), "edge")
     by_side = grown.groupBy("rid", "run").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("n", "cut")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     met = per.join(by_side, ["rid", "run"], "left").withColumn("passage_words", (F.col("end") - F.col("start") + zero("n0") + zero("n1")).cast("long")).where(F.col("passage_words") >= min_run)
     before = F.when(zero("cut0") > 0, F.struct((F.col("start") - zero("cut0")).alias("a"), F.col("start").alias("b")))
     behind = F.when(zero("cut1") > 0, F.struct(F.col("end").alias("a"), (F.col("end") + zero("cut1")).alias("b")))
     met = met.select("rid", "run", "passage", (F.col("start") - zero("n0")).cast("int").alias("passage_first_word"), "passage_words", F.concat("gaps", F.array_compact(F.array(before, behind))).alias("cuts"))
-    kept = (F.col("first.rid") == F.col("rid")) & (F.col("first.first_word") == F.col("first_word"))
-    return run.join(met, ["rid", "run"]).select(
-        "rid", "doc_id", "seq", "first_word", F.lit(WORDS).alias("n_words"), "class_id", "class_size", F.col("first.doc_id").alias("first_doc_id"), kept.alias("kept"), "passage", "passage_first_word", "passage_words", "cuts"
-    )
+    kept = F.col("first_rid") == F.col("rid")
+    return run.join(met, ["rid", "run"]).select("rid", "doc_id", "seq", "first_word", F.lit(WORDS).alias("n_words"), "class_id", "class_size", kept.alias("kept"), "passage", "passage_first_word", "passage_words", "cuts")
 
 
 def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, run, side, at, n, cut) of edges (rid, run, side, at, class_id): how many words on from there another document has beside the same class, and an earlier one.
+    """(edge, n, cut) of edges (edge, rid, side, at, class_id, own): how many words on from there another document has beside the same class, and an earlier one.
 
     Side 0 goes back, side 1 forward, SPAN words at most: were more the same, they would hold a paragraph of the run.
+    Edges that aren't a run's own only serve others.
     """
-    per = edges.groupBy("rid").agg(F.collect_list(F.struct("run", "side", "at", "class_id")).alias("edges"))  # no more than two for each paragraph
-    per = if_small(per, F.size("edges") * 32 + 16)
-    columns = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("run", pa.int64()), ("side", pa.int32()), ("at", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    per = edges.groupBy("rid").agg(F.collect_list(F.struct("edge", "side", "at", "class_id", "own")).alias("edges"))  # a few for each paragraph
+    per = if_small(per, F.size("edges") * 40 + 24)
+    columns = pa.schema([("edge", pa.int64()), ("rid", pa.int64()), ("own", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +257,7 @@ def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
                 lists = part.column("edges")
                 doc = np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths()))
                 flat = lists.flatten()
-                run, side, at, label = (flat.field(k).to_numpy() for k in ("run", "side", "at", "class_id"))
+                side, at, label = (flat.field(k).to_numpy() for k in ("side", "at", "class_id"))
                 heads = np.cumsum(counts) - counts
                 size = np.minimum(np.where(side == 0, at, counts[doc] - at), SPAN)
                 origin, step = heads[doc] + np.where(side == 0, at - 1, at), np.where(side == 0, -1, 1)
@@ -268,33 +266,35 @@ def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
                 place = np.arange(int(size.sum())) - begin[which]
                 values = mix64(words[origin[which] + step[which] * place] + (place + 1).astype(np.uint64) * _STEP)
                 sums = np.concatenate(([np.uint64(0)], np.cumsum(values, dtype=np.uint64)))
-                seed = mix64(label.view(np.uint64) + side.astype(np.uint64))
+                seed = mix64(mix64(label.view(np.uint64)) + side.astype(np.uint64))
                 keys = mix64((sums[1:] - sums[begin[which]]) ^ seed[which]).view(np.int64)
                 some = np.flatnonzero(size)
                 offsets = np.append(begin[some], len(keys)).astype(np.int32)
-                rid, doc_id = (part.column(c).take(pa.array(doc[some])) for c in ("rid", "doc_id"))
-                yield pa.RecordBatch.from_arrays([rid, doc_id, pa.array(run[some].astype(np.int64)), pa.array(side[some].astype(np.int32)), pa.array(at[some].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], schema=columns)
+                own, edge = (flat.field(k).take(pa.array(some)) for k in ("own", "edge"))
+                yield pa.RecordBatch.from_arrays([edge, part.column("rid").take(pa.array(doc[some])), own, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], schema=columns)
 
-    cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "rid").select("rid", "doc_id", "text", "edges")
-    beside = scratch.save(cols.mapInArrow(read, "rid long, doc_id long, run long, side int, at int, keys array<long>"), "beside")
+    cols = docs.select("rid", "text").join(per, "rid").select("text", "rid", "edges")
+    beside = scratch.save(cols.mapInArrow(read, "edge long, rid long, own boolean, keys array<long>"), "beside")
 
     def shared(keys: DataFrame, name: str) -> DataFrame:
-        several = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min(_doc_order()).alias("first")).where("low <> high")
-        return scratch.save(several.select("key", F.col("first.rid").alias("first_rid")), name)
+        several = keys.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first <> last")
+        return scratch.save(several.select("key", "first"), name)
 
     # most end at the first word
-    one = shared(beside.select("rid", "doc_id", F.col("keys")[0].alias("key")), "one")
-    some = scratch.save(beside.withColumn("key", F.col("keys")[0]).join(one.select("key"), "key").select("rid", "doc_id", "run", "side", "at", F.posexplode("keys").alias("n", "key")), "some")
+    one = shared(beside.select("rid", F.col("keys")[0].alias("key")), "one")
+    some = scratch.save(beside.withColumn("key", F.col("keys")[0]).join(one.select("key"), "key").drop("key"), "some")
     scratch.drop(beside, one)
-    met = some.join(shared(some, "shared"), "key").withColumn("n", F.col("n") + 1)
-    earlier = F.when(F.col("first_rid") != F.col("rid"), F.col("n")).otherwise(0)
-    return met.groupBy("rid", "run", "side", "at").agg(F.max("n").alias("n"), F.max(earlier).alias("cut"))
+    several = shared(some.select("rid", F.explode("keys").alias("key")), "shared")
+    met = some.where("own").select("edge", "rid", F.posexplode("keys").alias("n", "key")).join(several, "key").withColumn("n", F.col("n") + 1)
+    out = scratch.save(met.groupBy("edge").agg(F.max("n").alias("n"), F.max(F.when(F.col("first") < F.col("rid"), F.col("n")).otherwise(0)).alias("cut")), "extended")
+    scratch.drop(some, several)
+    return out
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the later copies of repeated passages; documents that lose nothing keep their text as it is.
 
-    Words of a paragraph that is the first of its class stay, even where another passage overlaps it.  What ``repeated``
+    Words of a paragraph in the first document of its class stay, even where another passage overlaps it.  What ``repeated``
     says of null, empty, very long and repeated texts holds; columns of any name pass through; an empty table stays empty.
     """
     safe, restore = shield(docs)
