@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from visitlens.llm.candidates import classes
-from visitlens.llm.common import Scratch, if_small, numbered, shield, slices
+from visitlens.llm.common import Scratch, numbered, shield, slices
 from visitlens.llm.shingles import SHINGLE, fold, hash_words, mix64, numbers_of, shingle_numbers
 
 SIMILARITY = 0.9
@@ -129,7 +129,6 @@ def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted paragraphs (rid, first_word, node)."""
     per = wanted.groupBy("rid").agg(F.collect_list(F.struct("first_word", "node")).alias("parts"))  # no more than the document has
-    per = if_small(per, F.size("parts") * 16 + 16)
     columns = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     width = WORDS - SHINGLE + 1
 
@@ -146,6 +145,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([flat.field("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[keep]))], schema=columns)
 
+    # the same way at every size: texts move once
     return docs.select("rid", "text").join(per, "rid").select("text", "parts").mapInArrow(read, "node long, shingles array<long>")
 
 
@@ -247,7 +247,6 @@ def extensions(docs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame
     Edges that aren't a run's own only serve others.
     """
     per = edges.groupBy("rid").agg(F.collect_list(F.struct("edge", "side", "at", "class_id", "own")).alias("edges"))  # a few for each paragraph
-    per = if_small(per, F.size("edges") * 40 + 24)
     columns = pa.schema([("edge", pa.int64()), ("rid", pa.int64()), ("own", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
