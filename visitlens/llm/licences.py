@@ -63,46 +63,59 @@ def digest(plain_text: Column) -> Column:
     return F.sha2(F.when(some, F.trim(F.replace(apart, F.lit("  "), F.lit(" ")))).otherwise(plain_text), 256)
 
 
+def signature(plain_text: Column) -> Column:
+    """Number of words, and the first one in its usual spelling: texts of one digest have one signature."""
+    usual = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    first = F.substring_index(plain_text, " ", 1)
+    return F.concat(word_total(plain_text).cast("string"), F.lit(" "), F.coalesce(F.try_element_at(usual, first), first))
+
+
 def known_digests(spark, licences: list[tuple[str, str]] = LICENCES) -> DataFrame:
     """(digest, licence) of the known texts; texts alike in canonical form have the first name."""
     texts = spark.createDataFrame(licences, "licence string, text string")
     return texts.groupBy(digest(plain(stacked(F.col("text")))).alias("digest")).agg(F.min("licence").alias("licence"))
 
 
-def known_parts(spark, licences: list[tuple[str, str]] = LICENCES) -> tuple[list[tuple[str, list[str]]], set[int]]:
-    """(licence, digests of its paragraphs) of each known text, and how many words such paragraphs have."""
+def known_parts(spark, licences: list[tuple[str, str]] = LICENCES) -> tuple[list[tuple[str, list[str]]], list[str]]:
+    """(licence, digests of its paragraphs) of each known text, and the signatures of such paragraphs."""
     texts = spark.createDataFrame([(i, *x) for i, x in enumerate(licences)], "i int, licence string, text string").select("i", "licence", F.explode(paragraphs(stacked(F.col("text")))).alias("part"))
     per: dict[int, tuple[str, list[str]]] = {}
-    totals = set()
-    for r in texts.select("i", "licence", digest(F.col("part")).alias("digest"), word_total(F.col("part")).alias("n")).collect():  # the list of licences itself
+    signatures = set()
+    for r in texts.select("i", "licence", digest(F.col("part")).alias("digest"), signature(F.col("part")).alias("signature")).collect():  # the list of licences itself
         per.setdefault(r.i, (r.licence, []))[1].append(r.digest)
-        totals.add(r.n)
-    return [(name, sorted(set(found))) for _, (name, found) in sorted(per.items())], totals
+        signatures.add(r.signature)
+    return [(name, sorted(set(found))) for _, (name, found) in sorted(per.items())], sorted(signatures)
 
 
-def contained(stack: Column, known: list[tuple[str, list[str]]], totals: set[int]) -> Column:
-    """Sorted names of the licences all of whose paragraphs are parts of a text; one that another of them includes isn't named."""
-    mine = F.transform(F.filter(parts(stack), lambda p: word_total(p).isin(sorted(totals))), digest)
+def with_contained(docs: DataFrame, known: list[tuple[str, list[str]]], signatures: list[str]) -> DataFrame:
+    """``docs`` (with ``stack``) and ``_contained``: sorted names of the licences all of whose paragraphs are parts of a text; one that another of them includes isn't named."""
+    none = F.array().cast("array<string>")
+    # a digest only for parts that begin like a known one and are as long
+    mine = F.transform(F.filter(parts(F.coalesce("stack", F.lit(""))), lambda p: signature(p).isin(signatures)), digest)
+    out = docs.withColumn("mine", mine).withColumn("_contained", none)
     groups: list[list[tuple[str, list[str]]]] = [[]]
     for entry in known:
         if sum(len(d) for _, d in groups[-1]) + len(entry[1]) > GROUP:
             groups.append([])
         groups[-1].append(entry)
-    found = []
     for group in filter(None, groups):
-        hits = F.array_intersect(mine, F.array(*[F.lit(d) for d in sorted({d for _, ds in group for d in ds})]))
+        # each a column of its own, so that it is worked out once
+        out = out.withColumn("hits", F.when(F.size("mine") > 0, F.array_intersect("mine", F.array(*[F.lit(d) for d in sorted({d for _, ds in group for d in ds})]))).otherwise(none))
         entries = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(d) for d in ds]).alias("digests")) for name, ds in group])
-        names = F.transform(F.filter(entries, lambda e: F.size(F.array_except(e["digests"], hits)) == 0), lambda e: e["name"])
-        found.append(F.when(F.size(hits) > 0, names).otherwise(F.array().cast("array<string>")))
-    names = F.array_sort(F.array_distinct(F.concat(*found))) if found else F.array().cast("array<string>")
+        names = F.transform(F.filter(entries, lambda e: F.size(F.array_except(e["digests"], F.col("hits"))) == 0), lambda e: e["name"])
+        out = out.withColumn("_contained", F.when(F.size("hits") > 0, F.concat("_contained", names)).otherwise(F.col("_contained")))
+    out = out.withColumn("_contained", F.array_sort(F.array_distinct("_contained")))
     wider = defaultdict(set)
     for name, ds in known:
         for other, more in known:
             if name != other and set(ds) < set(more):
                 wider[name].add(other)
-    for name, others in sorted(wider.items()):
-        names = F.when(F.arrays_overlap(names, F.array(*[F.lit(o) for o in sorted(others)])), F.array_remove(names, name)).otherwise(names)
-    return names
+    if wider:
+        # names that include another, by its name
+        above = F.create_map(*[x for name, others in sorted(wider.items()) for x in (F.lit(name), F.array(*[F.lit(o) for o in sorted(others)]))])
+        alone = F.filter("_contained", lambda n: ~F.coalesce(F.arrays_overlap(F.try_element_at(above, n), F.col("_contained")), F.lit(False)))
+        out = out.withColumn("_contained", F.when(F.size("_contained") > 1, alone).otherwise(F.col("_contained")))
+    return out.drop("mine", "hits")
 
 
 def scan(docs: DataFrame, licences: list[tuple[str, str]] = LICENCES) -> DataFrame:
@@ -114,10 +127,10 @@ def scan(docs: DataFrame, licences: list[tuple[str, str]] = LICENCES) -> DataFra
     table stays empty.  ``_contained`` is an array, empty without a licence.
     """
     safe, restore = shield(docs, ("text",))
-    known, totals = known_parts(docs.sparkSession, licences)
+    known, signatures = known_parts(docs.sparkSession, licences)
     found = safe.withColumn("stack", stacked(F.col("text"))).withColumn("plain", plain(F.col("stack")))
     found = found.withColumn("_n_words", word_total(F.col("plain")))
-    found = found.withColumn("_digest", F.when(F.col("_n_words") > 0, digest(F.col("plain")))).withColumn("_contained", contained(F.coalesce("stack", F.lit("")), known, totals))
+    found = with_contained(found.withColumn("_digest", F.when(F.col("_n_words") > 0, digest(F.col("plain")))), known, signatures)
     names = known_digests(docs.sparkSession, licences).select(F.col("digest").alias("_digest"), F.col("licence").alias("_licence"))
     names = if_small(names, 128 + F.length("_licence"))
     return restore(found.drop("stack", "plain").join(names, "_digest", "left"), "_n_words", "_digest", "_licence", "_contained")
