@@ -21,7 +21,7 @@ SAMPLE_SIZE = 100
 
 
 def actions_between(actions: DataFrame, params: TaskParams) -> DataFrame:
-    """Half-open range of dates; a missing bound sets no condition.  The predicate reaches the scan."""
+    """Half-open range of dates; a missing bound sets no condition.  It reaches the scan where ``date`` is a stored column."""
     out = actions
     if params.start_date:
         out = out.where(F.col("date") >= params.start_date)

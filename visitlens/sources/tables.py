@@ -47,7 +47,8 @@ class SlicedTable:
         out = fs.create(draft, True)
         out.write(bytearray(text))
         out.close()
-        fs.rename(draft, target)
+        if not fs.rename(draft, target):
+            raise OSError(f"batch {batch_id} could not be made visible: {target}")
 
     # -- reading and writing
 
