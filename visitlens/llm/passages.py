@@ -6,9 +6,8 @@ has the same paragraphs wherever it is pasted, whatever sentences, lines or scri
 SPAN + WORDS words or more holds a whole paragraph for certain.
 
 Paragraphs that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
-classes.  WORDS words are 12 shingles, so sets that are SIMILARITY alike are equal (one other shingle makes 0.846) and share
-every band: a band may have as many rows as it takes to keep others out.  A passage with edits is found by its
-paragraphs between them.  Neighbours in a document are linked where another document has paragraphs of the same two classes
+classes.  WORDS words are 12 shingles, so sets that are SIMILARITY alike differ in one shingle at most (0.846): the first or
+last word may be another.  A passage with edits inside is found by its paragraphs between them.  Neighbours in a document are linked where another document has paragraphs of the same two classes
 with the same words between them; linked paragraphs make up a run, which is followed word by word beyond its ends,
 as far as another document has the same words there.  Runs of MIN_RUN words or more are repeated passages; in
 every class the first paragraph is kept and the others are removed.
@@ -29,9 +28,9 @@ from visitlens.llm.candidates import classes
 from visitlens.llm.common import Scratch, numbered, shield, slices
 from visitlens.llm.shingles import SHINGLE, fold, hash_words, mix64, numbers_of, shingle_numbers
 
-SIMILARITY = 0.9
-#: Of pairs that are alike enough every one shares a band; of pairs that differ in one shingle 0.846 ** 12 = 0.13, in a word within 1e-4.
-BANDS, ROWS = 1, 12
+SIMILARITY = 0.8
+#: A pair at the threshold shares one of 6 bands of 2 with probability 1 - (1 - 0.8 ** 2) ** 6 = 0.998; equal ones always.
+BANDS, ROWS = 6, 2
 #: Words of a paragraph; word pairs in a row of which one begins a paragraph; words of a repeated passage, at least.
 WORDS, SPAN, MIN_RUN = 16, 34, 50
 
