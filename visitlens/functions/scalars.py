@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,11 @@ def ratio2(part: Column, whole: Column) -> Column:
     return up.cast("long") / F.lit(100.0)
 
 
+def round_to(num: Column, scale: int) -> Column:
+    """``num`` to ``scale`` places, halves up, by the digits that the number prints."""
+    return F.round(num.cast("double"), scale)
+
+
 def ids_of(c: Column) -> Column:
     """Elements of a comma list, without empty ones; an empty array for null."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "")
@@ -119,8 +125,20 @@ def or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("long"))
 
 
+def _group_concat_distinct():
+    """The aggregate by its name in SQL text.  SQL functions can't aggregate, so this one takes a group's values
+    to Python; plans of this package use the Column above, which combines before the shuffle."""
+
+    @F.pandas_udf("string")
+    def group_concat_distinct(values: pd.Series) -> str:
+        return ",".join(sorted(values.dropna().unique(), key=lambda x: x.encode()))
+
+    return group_concat_distinct
+
+
 def register_sql_functions(spark: SparkSession) -> None:
-    """The named functions for SQL text, as SQL functions that Catalyst inlines."""
+    """The named functions for SQL text; the scalar ones are SQL functions that Catalyst inlines."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION concat2(a STRING, b STRING, split STRING) RETURNS STRING RETURN concat(coalesce(a, 'null'), split, coalesce(b, 'null'))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION get_json_obj(json STRING, field STRING) RETURNS STRING RETURN get_json_object(json, concat('$.', field))")
+    spark.udf.register("group_concat_distinct", _group_concat_distinct())
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION trim_comma(s STRING) RETURNS STRING RETURN regexp_replace(s, '^,|,$', '')")

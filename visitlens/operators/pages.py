@@ -40,9 +40,13 @@ def page_convert_rate(actions: DataFrame, flow: Sequence[int]) -> DataFrame:
     A pair without views has rate 0; a rate over nothing is null.
     """
     targets = target_pairs(actions.sparkSession, flow)
-    counts = F.broadcast(page_split_pv(actions, flow))  # at most a row for each pair of the flow
-    start = F.broadcast(start_page_pv(actions, flow))
-    pv = targets.join(counts, "page_split", "left").withColumn("pv", F.coalesce("pv", F.lit(0).cast("long"))).crossJoin(start)  # one row
+    wanted = sorted({f"{a}_{b}" for a, b in zip(flow, flow[1:], strict=False)})
+    start = F.count(F.when(F.col("page_id") == (flow[0] if flow else None), 1)).alias("start_pv")
+    # one scan for both: a row for each pair of the flow, and one for all other moves
+    counts = page_moves(actions).groupBy(F.when(F.col("page_split").isin(wanted), F.col("page_split")).alias("page_split")).agg(F.count("*").alias("pv"), start)
+    listed = F.collect_list(F.when(F.col("page_split").isNotNull(), F.struct("page_split", "pv")))
+    one = F.broadcast(counts.agg(F.map_from_entries(listed).alias("pvs"), F.coalesce(F.sum("start_pv"), F.lit(0).cast("long")).alias("start_pv")))  # one row
+    pv = targets.crossJoin(one).withColumn("pv", F.coalesce(F.try_element_at("pvs", "page_split"), F.lit(0).cast("long")))
     before = F.coalesce(F.lag("pv").over(Window.orderBy("idx")), F.col("start_pv"))
     return pv.select("idx", "page_split", "pv", ratio2(F.col("pv"), before).alias("convert_rate"))
 

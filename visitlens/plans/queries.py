@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlens import jobs
 from visitlens.functions import scalars as S
 from visitlens.operators import ads, categories, pages, products, sessions
 from visitlens.params import TaskParams
+from visitlens.schemas import TASK
 from visitlens.session import pin
+from visitlens.sources.logs import file_log
 from visitlens.sources.testdata import SQL_VIEWS, Views
+from visitlens.streaming.ads import AdClickJob
 
 #: Parameters of the registered queries.
 PARAMS = TaskParams(
@@ -49,7 +55,7 @@ def register(sql: str | None = None):
 
 
 def _actions(v: Views) -> DataFrame:
-    return sessions.actions_between(v.user_visit_action, PARAMS)
+    return sessions.actions_between(v.actions_on(PARAMS.start_date, PARAMS.end_date), PARAMS)
 
 
 def _sessions(v: Views) -> DataFrame:
@@ -94,7 +100,8 @@ _AREA = """, clicks AS (SELECT city_id, click_product_id AS product_id FROM user
 
 
 def _clicks(v: Views) -> DataFrame:
-    return products.click_actions(v.user_visit_action, "2024-01-02 00:00:00", "2024-01-29 12:00:00")
+    between = "2024-01-02 00:00:00", "2024-01-29 12:00:00"
+    return products.click_actions(v.clicks_in(*between), *between)
 
 
 @register(
@@ -186,7 +193,21 @@ def session_random_extract(v: Views) -> DataFrame:
 
 @register(_SAMPLE + f" SELECT {_OUT} FROM acts WHERE session_id IN (SELECT session_id FROM drawn)")
 def session_random_detail(v: Views) -> DataFrame:
-    return sessions.session_detail(_actions(v), sessions.session_random_extract(_sessions(v), SAMPLE), 1)
+    drawn = sessions.session_random_extract(v.shared.save(_sessions(v), "sessions"), SAMPLE)
+    return sessions.session_detail(_actions(v), drawn, 1)
+
+
+_WHO = PARAMS.but(professionals=("BUILDING", "MACHINERY"), cities=tuple(f"NATION_{i}" for i in range(0, 25, 2)), keywords=("kw1", "kw4"), gender=None, category_ids=None)
+
+
+@register(
+    _S
+    + f""" SELECT session_id, professional, city, array_to_string(kws, ',') AS search_keywords FROM sess WHERE age BETWEEN {PARAMS.start_age} AND {PARAMS.end_age}
+  AND professional IN {_WHO.professionals} AND city IN {_WHO.cities} AND list_has_any(kws, {list(_WHO.keywords)})"""
+)
+def session_filter_who(v: Views) -> DataFrame:
+    """By profession, city and search word."""
+    return _printed(sessions.filter_sessions(_sessions(v), _WHO)).select("session_id", "professional", "city", "search_keywords")
 
 
 # ---- categories
@@ -230,19 +251,19 @@ def category_session_count(v: Views) -> DataFrame:
     return categories.category_session_count(_detail(v))
 
 
-def _top_sessions(v: Views) -> DataFrame:
-    detail = _detail(v)
+def _top_sessions(detail: DataFrame) -> DataFrame:
     return categories.top_sessions(detail, categories.top_categories(detail), task_id=1)
 
 
 @register(_CATS + " SELECT 1 AS task_id, category_id, session_id, click_count FROM top_sess")
 def top10_session(v: Views) -> DataFrame:
-    return _top_sessions(v)
+    return _top_sessions(v.shared.save(_detail(v), "detail"))
 
 
 @register(_CATS + f" SELECT {_OUT} FROM det JOIN (SELECT session_id FROM top_sess) t USING (session_id)")
 def top10_session_detail(v: Views) -> DataFrame:
-    return sessions.session_detail_repeated(_detail(v), _top_sessions(v), 1)
+    detail = v.shared.save(_detail(v), "detail")
+    return sessions.session_detail_repeated(detail, _top_sessions(detail), 1)
 
 
 # ---- page flow
@@ -335,7 +356,7 @@ _TREND = "SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, s
 
 @register(_ADS + " " + _TREND + " WHERE ts > (SELECT max(ts) FROM fl) - INTERVAL 60 MINUTE GROUP BY 1, 2, 3, 4")
 def ad_click_trend(v: Views) -> DataFrame:
-    return ads.click_trend(_filtered(v))
+    return ads.click_trend(v.shared.save(_filtered(v), "filtered"))
 
 
 @register(_ADS + " " + _TREND + " GROUP BY 1, 2, 3, 4")
@@ -409,3 +430,98 @@ def fn_group_concat_distinct(v: Views) -> DataFrame:
 def fn_sql_surface(v: Views) -> DataFrame:
     S.register_sql_functions(v.spark)
     return v.product_info.selectExpr("product_id", "concat2(CAST(product_id AS STRING), product_name, '-') AS a", "get_json_obj(extend_info, 'product_status') AS b")
+
+
+@register("SELECT area, string_agg(DISTINCT city_id || ':' || city_name, ',' ORDER BY city_id || ':' || city_name) AS cities FROM city_info GROUP BY area")
+def fn_sql_group_concat(v: Views) -> DataFrame:
+    S.register_sql_functions(v.spark)
+    v.create_views()
+    return v.spark.sql("SELECT area, group_concat_distinct(concat2(CAST(city_id AS STRING), city_name, ':')) AS cities FROM city_info GROUP BY area")
+
+
+@register("SELECT event_id, round(k / 8.0, 2) AS two, round(k / 8.0, 1) AS one FROM ev")
+def fn_round_to(v: Views) -> DataFrame:
+    eighth = F.col("k") / F.lit(8)
+    return v.events.select("event_id", S.round_to(eighth, 2).alias("two"), S.round_to(eighth, 1).alias("one"))
+
+
+# ---- jobs: a task is looked up, the job writes its tables, the query reads one of them back
+
+
+@dataclass(frozen=True)
+class _ViewInputs:
+    views: Views
+    task: dict
+
+    def table(self, name: str) -> DataFrame:
+        if name == "task":
+            return self.views.spark.createDataFrame([(1, None, None, None, None, None, None, json.dumps(self.task))], TASK)
+        return getattr(self.views, name)
+
+
+def _job(v: Views, name: str, table: str, task: dict) -> DataFrame:
+    out = f"{v.shared.base}/results"
+    jobs.run_task(name, 1, _ViewInputs(v, task), jobs.FolderResults(out))
+    return v.spark.read.parquet(f"{out}/{table}").withColumn("task_id", F.col("task_id").cast("long"))
+
+
+_TASK = {
+    "startDate": [PARAMS.start_date],
+    "endDate": [PARAMS.end_date],
+    "startAge": [str(PARAMS.start_age)],
+    "endAge": [str(PARAMS.end_age)],
+    "gender": [PARAMS.gender],
+    "categoryIds": [",".join(map(str, PARAMS.category_ids or ()))],
+    "targetPageFlow": [",".join(map(str, _FLOW))],
+}
+
+
+@register(_P + " " + _histogram_sql("passing"))
+def job_session_aggr_stat(v: Views) -> DataFrame:
+    return _job(v, "session", "session_aggr_stat", _TASK)
+
+
+@register(_CATS + " SELECT 1 AS task_id, category_id, session_id, click_count FROM top_sess")
+def job_session_top10(v: Views) -> DataFrame:
+    return _job(v, "session", "top10_session", _TASK)
+
+
+@register(_PAGES + " SELECT 1 AS task_id, string_agg(page_split || '=' || coalesce(CAST(CAST(convert_rate AS DOUBLE) AS VARCHAR), 'null'), '|' ORDER BY idx) AS convert_rate FROM final")
+def job_page(v: Views) -> DataFrame:
+    return _job(v, "page", "page_split_convert_rate", _TASK)
+
+
+@register(
+    _AREA
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY click_count DESC, product_id) AS place FROM apc JOIN product_info USING (product_id))
+SELECT 1 AS task_id, area, 'D级' AS area_level, product_id, city_infos, click_count, product_name, json_extract_string(extend_info, '$.product_status') AS product_status FROM r WHERE place <= 3"""
+)
+def job_product(v: Views) -> DataFrame:
+    """The levels are those of the original regions, so these areas have the last one."""
+    return _job(v, "product", "area_top3_product", {"startDate": ["2024-01-02 00:00:00"], "endDate": ["2024-01-29 12:00:00"]})
+
+
+def _stream(v: Views, table: str) -> DataFrame:
+    """The streaming job over the log as text files, in one batch; a second start finds nothing new."""
+    log, out = f"{v.shared.base}/log", f"{v.shared.base}/stream"
+    ads.log_lines(v.ad_log).write.text(log)
+    job = AdClickJob(v.spark, out, CLICKS)
+    for _ in range(2):
+        job.start(file_log(v.spark, log), f"{out}/_checkpoint", available_now=True).awaitTermination()
+    return job.table(table).read()
+
+
+@register(_ADS + " SELECT date, user_id, ad_id, click_count FROM ucc")
+def stream_user_click_count(v: Views) -> DataFrame:
+    return _stream(v, "ad_user_click_count")
+
+
+@register(_ADS + " SELECT user_id FROM bl")
+def stream_black_list(v: Views) -> DataFrame:
+    return _stream(v, "ad_black_list")
+
+
+@register(_ADS + " SELECT strftime(ts, '%Y%m%d') AS date, province, city, ad_id, count(*) AS click_count FROM ad_log GROUP BY 1, 2, 3, 4")
+def stream_ad_stat(v: Views) -> DataFrame:
+    """The first batch meets an empty blacklist."""
+    return _stream(v, "ad_stat")

@@ -2,8 +2,8 @@
 
 A table is cut by an expression, its day as a rule.  An update rewrites only the slices that its rows
 touch, into a folder named by the batch, and then puts a manifest in place that says which folder
-holds each slice.  A batch that is played again finds its manifest and changes nothing; readers of an older
-manifest are not disturbed.  What the driver holds is the manifest, one line for each slice.
+holds each slice.  A batch that is played again finds its manifest and changes nothing; readers of one of the
+last KEEP manifests are not disturbed, what only older ones name is deleted.  What the driver holds is the manifest, one line for each slice.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Manifests that stay readable.
+KEEP = 20
+
+
 class SlicedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], slice_by: str):
         self.spark, self.path, self.schema, self.keys, self.slice_by = spark, path.rstrip("/"), schema, keys, slice_by
@@ -38,7 +42,7 @@ class SlicedTable:
         if not found:
             return -1, {}
         batch, path = found[-1]
-        return batch, json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+        return batch, self._load(path)
 
     def _commit(self, batch_id: int, slices: dict[str, str]) -> None:
         text = json.dumps(slices, sort_keys=True).encode()
@@ -50,6 +54,26 @@ class SlicedTable:
         if not fs.rename(draft, target):
             raise OSError(f"batch {batch_id} could not be made visible: {target}")
 
+    def _load(self, path: str) -> dict[str, str]:
+        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+
+    def _prune(self) -> None:
+        """Delete old manifests and the slices that no other names.  Slices go first: what is cut short is done next time."""
+        found = self._manifests()
+        old, kept = found[:-KEEP], found[-KEEP:]
+        if not old:
+            return
+        # the newest manifests; a slice that a later one dropped is never named again
+        named = {p for _, path in kept for p in self._load(path).values()}
+        folders = {p.rsplit("/", 1)[0] for p in named}
+        for _, manifest in old:
+            gone = set(self._load(manifest).values()) - named
+            for p in gone | ({p.rsplit("/", 1)[0] for p in gone} - folders):
+                fs, target = self._fs(p)
+                fs.delete(target, True)
+            fs, target = self._fs(manifest)
+            fs.delete(target, False)
+
     # -- reading and writing
 
     @property
@@ -81,6 +105,7 @@ class SlicedTable:
             fs, _ = self._fs(folder)
             held = {s: p for s, p in held.items() if s not in touched or fs.exists(self._fs(p)[1])}
         self._commit(batch_id, held)
+        self._prune()
         return True
 
     def add(self, rows: DataFrame, batch_id: int, amount: str) -> bool:

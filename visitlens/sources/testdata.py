@@ -5,12 +5,15 @@ Each view selects only what it needs, so column pruning reaches the scan of the
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlens.sources.shared import Shared
+
 PAGES, CATEGORIES, PRODUCTS, CITIES, ADS = 10, 20, 100, 25, 10
 
 
@@ -28,8 +31,40 @@ class Views:
     def events(self) -> DataFrame:
         return self._table("events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
+    @cached_property
+    def shared(self) -> Shared:
+        return Shared(self.spark, "queries")
+
     @cached_property
     def user_visit_action(self) -> DataFrame:
+        return self._actions(self.events)
+
+    def actions_on(self, first: str | None = None, end: str | None = None) -> DataFrame:
+        """``user_visit_action`` of the days from ``first`` to before ``end``, by bounds on the stored time, which reach the scan."""
+        events = self.events
+        if first:
+            events = events.where(F.col("ts") >= self._time(dt.date.fromisoformat(first)))
+        if end:
+            events = events.where(F.col("ts") < self._time(dt.date.fromisoformat(end)))
+        return self._actions(events)
+
+    def clicks_in(self, start: str, end: str) -> DataFrame:
+        """``user_visit_action`` of the clicks between two points in time, both included, by stored columns."""
+        ts, second = F.col("ts"), dt.timedelta(seconds=1)
+        first, last = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end).replace(microsecond=0)
+        return self._actions(self.events.where((F.col("event_type") == "click") & (ts >= self._time(first)) & (ts < self._time(last + second))))
+
+    def _time(self, at: dt.date) -> Column:
+        return F.lit(at.isoformat().replace("T", " ")).cast(self.events.schema["ts"].dataType)
+
+    def create_views(self) -> list[str]:
+        """The model's tables as temporary views for SQL text."""
+        names = ["user_visit_action", "user_info", "product_info", "city_info", "ad_log"]
+        for name in names:
+            getattr(self, name).createOrReplaceTempView(name)
+        return names
+
+    def _actions(self, events: DataFrame) -> DataFrame:
         k = F.col("k")
 
         def only(kind: str, value: Column) -> Column:
@@ -39,7 +74,7 @@ class Views:
             return c.cast("string")
 
         date = F.date_format("ts", "yyyy-MM-dd")
-        return self.events.select(
+        return events.select(
             "event_id",
             date.alias("date"),
             "user_id",
