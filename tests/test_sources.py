@@ -49,6 +49,8 @@ def test_write_result(spark, tmp_path):
     write_result(df, path, 2)
     write_result(df, path, 2, append=True)
     assert {r.task_id: r["count"] for r in spark.read.parquet(path).groupBy("task_id").count().collect()} == {1: 3, 2: 6}
+    write_result(df.limit(0), path, 1)
+    assert {r.task_id: r["count"] for r in spark.read.parquet(path).groupBy("task_id").count().collect()} == {2: 6}
 
 
 def test_mock(spark):

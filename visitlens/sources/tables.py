@@ -131,7 +131,5 @@ class SlicedTable:
 
 
 def write_result(df: DataFrame, path: str, task_id: int, append: bool = False) -> None:
-    """Write a task's rows of a result table; running the task again replaces them, unless it is the second writer."""
-    rows = df.withColumn("task_id", F.lit(task_id).cast("long"))
-    writer = rows.write.partitionBy("task_id").option("partitionOverwriteMode", "dynamic")
-    writer.mode("append" if append else "overwrite").parquet(path)
+    """Write a task's rows of a result table; running the task again replaces them, also by none, unless it is the second writer."""
+    df.drop("task_id").write.mode("append" if append else "overwrite").parquet(f"{path}/task_id={int(task_id)}")
