@@ -16,13 +16,15 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="visitlens-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    where = f"file://{folder}"
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    spark.sparkContext.setCheckpointDir(f"file://{folder}")
+    return shared_folder(spark)
 
 
 class Shared:
