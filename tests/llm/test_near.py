@@ -235,6 +235,55 @@ def test_near_passages(make_docs):
     assert shared_windows(list(enumerate(texts)), 51) <= named and named <= set(range(30))
 
 
+@pytest.mark.parametrize("vocabulary", [3, 40])
+def test_repeated_words(make_docs, vocabulary):
+    """Paragraphs that repeat words and lines inside, against all pairs of paragraphs."""
+    rng = random.Random(vocabulary)
+    texts = []
+    for period in range(1, 19):
+        line = text_of(rng, period, vocabulary)
+        for n in range(4):
+            words = (line * 60)[n : n + 60]
+            texts.append(" ".join(text_of(rng, 20, 10**6) + edited(rng, words, n) + text_of(rng, 20, 10**6)))
+    texts += [" ".join(text_of(rng, 60, vocabulary)) for _ in range(20)]
+    sets, owners, shingles = Sets(), defaultdict(set), {}
+    for i, text in enumerate(texts):
+        words = word_list(text)
+        for at in passages.find_starts(*numbers_of([text])).starts.tolist():
+            owners[tuple(words[at : at + passages.WORDS])].add((i, at))
+    for words in owners:
+        shingles[words] = {words[i : i + 5] for i in range(passages.WORDS - 4)}
+    for a in owners:
+        for b in owners:
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                sets.join(a, b)
+    want = defaultdict(set)
+    for words, places in owners.items():
+        want[sets.find(words)] |= places
+    got = defaultdict(set)
+    for r in repeated(with_row_id(make_docs(texts)), min_run=passages.WORDS).collect():
+        got[r.class_id].add((r.doc_id, r.first_word))
+    many = {frozenset(v) for v in want.values() if len({i for i, _ in v}) > 1}
+    assert {frozenset(v) for v in got.values()} == many and len(many) > 10
+
+
+def test_variants_cost_rows_in_proportion(make_docs, monkeypatch):
+    """Paragraphs that are edited inside share bands with many, but no table has more than a few rows for each of them."""
+    rng = random.Random(29)
+    base = text_of(rng, 800, 10**6)
+    texts = [" ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in base) for _ in range(60)]
+    rows, save = Counter(), Scratch.save
+
+    def counted(self, df, name, by=None):
+        out = save(self, df, name, by)
+        rows[name] = max(rows[name], out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    repeated(with_row_id(make_docs(texts))).count()
+    assert rows["paragraphs"] > 2000 and max(rows.values()) <= 2 * rows["paragraphs"], rows
+
+
 def test_cut_keeps_the_rest():
     text = "  One two three, four five. Six seven!\nEnd"
     assert cut_words(text, []) == text

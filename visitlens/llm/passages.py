@@ -5,9 +5,13 @@ SPAN pairs in a row.  Every SPAN pairs hold such a beginning, and it depends on
 has the same paragraphs wherever it is pasted, whatever sentences, lines or script it is written in.  A passage of
 SPAN + WORDS words or more holds a whole paragraph for certain.
 
-Paragraphs that share a band are verified by the exact Jaccard similarity of their five-word shingles and joined into
+Paragraphs that share a band and whose sets of five-word shingles have an exact Jaccard similarity of SIMILARITY are joined into
 classes.  WORDS words are 12 shingles, so sets that are SIMILARITY alike differ in one shingle at most (0.846): the first or
-last word may be another.  A passage with edits inside is found by its paragraphs between them.  Neighbours in a document are linked where another document has paragraphs of the same two classes
+last word may be another, and all but one word of each, its head or its tail, stand in both.  So bands are only held against
+each other among paragraphs that share a head or tail (see ``ends``) or, where words are repeated inside and shingles
+say less of the order, all but one or two shingles (see ``set_windows``).  At other similarities paragraphs meet in whole bands and
+are verified by their sets.
+A passage with edits inside is found by its paragraphs between them.  Neighbours in a document are linked where another document has paragraphs of the same two classes
 with the same words between them; linked paragraphs make up a run, which is followed word by word beyond its ends,
 as far as another document has the same words there.  Runs of MIN_RUN words or more are repeated passages; in
 every class the first paragraph is kept and the others are removed.
@@ -24,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitlens.llm.candidates import classes
+from visitlens.llm.candidates import classes, colliding
 from visitlens.llm.common import Scratch, numbered, shield, slices
+from visitlens.llm.components import components
 from visitlens.llm.shingles import SHINGLE, fold, hash_words, mix64, numbers_of, shingle_numbers
 
 SIMILARITY = 0.8
@@ -33,6 +38,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 2
 #: Words of a paragraph; word pairs in a row of which one begins a paragraph; words of a repeated passage, at least.
 WORDS, SPAN, MIN_RUN = 16, 34, 50
+#: Words in a row that a paragraph has once: where all are different, its shingles say its order.
+GRAM = SHINGLE - 2
+#: Bits for the bands of a paragraph in its sketch, and marks of its words: head or tail without repeated grams, repeated grams anywhere.
+SKETCH, HEAD, TAIL, ODD = 60, 1, 2, 4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
@@ -87,13 +96,45 @@ def paragraph_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def marks_of(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """HEAD, TAIL and ODD of each paragraph."""
+    width = WORDS - GRAM + 1
+    if not len(starts):
+        return np.empty(0, dtype=np.int8)
+    grams = words[: len(words) - GRAM + 1]
+    for i in range(1, GRAM):
+        grams = mix64(grams * _PAIR + mix64(words[i : len(words) - GRAM + 1 + i]))
+    own = grams[starts[:, None] + np.arange(width)]
+
+    def repeats(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x, axis=1)
+        return (x[:, 1:] == x[:, :-1]).any(axis=1)
+
+    out = np.full(len(starts), HEAD | TAIL, dtype=np.int8)
+    odd = np.flatnonzero(repeats(own))
+    out[odd] = ODD + HEAD * ~repeats(own[odd, :-1]) + TAIL * ~repeats(own[odd, 1:])
+    return out
+
+
+def sketches(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The last bits of all bands of a paragraph in one number."""
+    bits = SKETCH // bands
+    values = paragraph_bands(shingles, bands, rows) & np.int64((1 << bits) - 1)
+    return (values << (np.arange(bands, dtype=np.int64) * bits)).sum(axis=1)
+
+
 _UNITS = pa.schema(
-    [("rid", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("first_word", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("gap", pa.int64()), ("bands", pa.list_(pa.int64()))]
+    [("rid", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("first_word", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("gap", pa.int64()), ("marks", pa.int8()), ("sketch", pa.int64()), ("shingles", pa.list_(pa.int64()))]
 )
 
 
-def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """rid, doc_id, seq (number among the document's paragraphs), first_word, k1, k2 (128 bits of the words), gap (of the words up to the next), bands."""
+def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, plain: bool = True) -> DataFrame:
+    """rid, doc_id, seq (number among the document's paragraphs), first_word, k1, k2, gap (of the words up to the next), marks, sketch, shingles.
+
+    k1 and k2 are 64 bits each of all words but the last and of all but the first; both are alike in equal paragraphs alone,
+    or else in some that differ in an end word.  ``shingles``, where paragraphs are odd, are given once for the same
+    paragraphs of some documents.  Unless ``plain``, all are odd and have no head or tail.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,44 +149,120 @@ def find_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
                 after = np.append(p.starts[1:], 0)
                 between = np.where(after > ends, sums[after] - sums[ends], np.uint64(0))
                 gap = mix64(between + (after - p.starts).astype(np.uint64) * _STEP).view(np.int64)
-                flat = paragraph_bands(paragraph_shingles(words, p.starts), bands, rows)
+                shingles = paragraph_shingles(words, p.starts)
+                marks = marks_of(words, p.starts) if plain else np.full(len(p.starts), ODD, dtype=np.int8)
+                sketch = sketches(shingles, bands, rows) if plain else np.zeros(len(p.starts), dtype=np.int64)
+                head, tail = _ordered(own[:, :-1], 1).view(np.int64), _ordered(own[:, 1:], 1).view(np.int64)
+                odd = np.flatnonzero(marks & ODD)
+                given = np.zeros(len(p.starts), dtype=bool)
+                given[odd[np.unique(np.stack((head[odd], tail[odd])), axis=1, return_index=True)[1]]] = True
+                offsets = pa.array(np.concatenate(([0], np.cumsum(given * shingles.shape[1]))).astype(np.int32), mask=np.append(~given, False))
                 values = [
                     part.column("rid").take(pa.array(p.doc)),
                     part.column("doc_id").take(pa.array(p.doc)),
                     pa.array((np.arange(len(p.doc)) - np.searchsorted(p.doc, p.doc)).astype(np.int32)),
                     pa.array((p.starts - heads[p.doc]).astype(np.int32)),
-                    pa.array(_ordered(own, 1).view(np.int64)),
-                    pa.array(_ordered(own, 2).view(np.int64)),
+                    pa.array(head),
+                    pa.array(tail),
                     pa.array(gap),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * bands), pa.array(flat.ravel())),
+                    pa.array(marks),
+                    pa.array(sketch),
+                    pa.ListArray.from_arrays(offsets, pa.array(shingles[given].ravel().view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays(values, schema=_UNITS)
 
     cols = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cols.mapInArrow(read, "rid long, doc_id long, seq int, first_word int, k1 long, k2 long, gap long, bands array<long>")
+    return cols.mapInArrow(read, "rid long, doc_id long, seq int, first_word int, k1 long, k2 long, gap long, marks byte, sketch long, shingles array<long>")
+
+
+def ends(nodes: DataFrame) -> DataFrame:
+    """(node, sketch, window, own) of heads and tails without repeated grams.
 
+    Such a head or tail is 11 different shingles, so sets that share it are 11/13 alike at least.  The other way round, let one
+    of two different paragraphs have no gram twice.  The other's shingles are 12 that follow each other by four words; those that
+    the first has, too, stand there in the same order.  So if 11 are shared, the one that isn't is at an end, and the
+    others make up a head or tail of both; with 10 shared the sets are 10/13 alike at most.  For similarities above 10/13
+    and up to 11/13, what is missing here are pairs of which both have a gram twice.
+    """
+    marked = lambda mark, key: F.when(F.col("marks").bitwiseAND(F.lit(mark).cast("byte")) > 0, F.col(key))
+    windows = F.explode(F.array_compact(F.array(marked(HEAD, "k1"), marked(TAIL, "k2"))))
+    return nodes.select("node", "sketch", windows.alias("window"), F.lit(True).alias("own"))
+
+
+def set_windows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, sketch, window, own) of different sets of shingles (node, sketch, shingles), for a similarity above 10/13.
+
+    Two sets of 12 at most that are so alike differ in one or two shingles: either has one other, or one of them has one or two more.
+    So they share a window, which is a set without one or two of its shingles: with all sets of that size,
+    or with the set that is the same in full, which owns it.
+    """
+    columns = pa.schema([("node", pa.int64()), ("sketch", pa.int64()), ("window", pa.int64()), ("own", pa.bool_())])
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted paragraphs (rid, first_word, node)."""
-    per = wanted.groupBy("rid").agg(F.collect_list(F.struct("first_word", "node")).alias("parts"))  # no more than the document has
-    columns = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, sizes = mix64(lists.flatten().to_numpy().view(np.uint64)), np.asarray(lists.value_lengths())
+            heads = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                values = flat[heads[rows][:, None] + np.arange(n)]
+                total = values.sum(axis=1, keepdims=True, dtype=np.uint64)
+                less = total - values
+                windows = [(total, 2 * n, True)]
+                if n - 1 >= similarity * (n + 1):
+                    windows.append((less, 2 * n + 1, True))
+                if n - 1 >= similarity * n:
+                    windows.append((less, 2 * (n - 1), False))
+                if n - 2 >= similarity * n:
+                    i, j = np.triu_indices(n, 1)
+                    windows.append((less[:, i] - values[:, j], 2 * (n - 2), False))
+                for sums, kind, own in windows:
+                    of = pa.array(np.repeat(rows, sums.shape[1]))
+                    keys = mix64(sums + _seed(kind + 1)).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("sketch").take(of), pa.array(keys), pa.array(np.full(len(keys), own))], schema=columns)
+
+    return sets.select("node", "sketch", "shingles").mapInArrow(read, "node long, sketch long, window long, own boolean")
+
+
+def linked(windows: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) that join every (node, sketch, window, own) to the owners of its window that share a band with it."""
+    bits = SKETCH // bands
+    # partial aggregates keep hot windows small
+    shared = windows.groupBy("window").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("own").alias("own")).where("a <> b AND own").select("window")
+    shared = scratch.save(shared, "windows")
+    band = F.explode(F.array(*[F.xxhash64("window", F.lit(b), F.shiftright("sketch", b * bits).bitwiseAND(F.lit((1 << bits) - 1))) for b in range(bands)]))
+    members = scratch.save(windows.join(shared, "window").select("node", "own", band.alias("band")), "members")
+    # owners of a window are alike, so one is linked to each of the others
+    least = members.groupBy("band").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("v"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b AND v IS NOT NULL").select("band", "v")
+    least = scratch.save(least, "least")
+    links = scratch.save(members.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "links")
+    scratch.drop(shared, members, least)
+    return links
+
+
+def shingle_sets(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sketch, shingles) of odd paragraphs; a shingle that a paragraph has twice counts once."""
+    given = units.where("shingles IS NOT NULL").groupBy("k1", "k2").agg(F.first("shingles").alias("shingles"))
+    odd = nodes.where(F.col("marks").bitwiseAND(F.lit(ODD).cast("byte")) > 0).select("k1", "k2", "node", "sketch")
+    return odd.join(given, ["k1", "k2"]).select("node", "sketch", F.array_sort(F.array_distinct("shingles")).alias("shingles"))
+
+
+def set_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, band) of the paragraphs (node, shingles)."""
     width = WORDS - SHINGLE + 1
+    columns = pa.schema([("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
-                words, counts = numbers_of(texts)
-                lists = part.column("parts")
-                of = np.repeat(np.cumsum(counts) - counts, np.asarray(lists.value_lengths()))
-                flat = lists.flatten()
-                found = np.sort(paragraph_shingles(words, of + flat.field("first_word").to_numpy()), axis=1).view(np.int64)
-                # sets: a shingle that a paragraph has twice counts once
-                keep = np.concatenate((np.ones((len(found), 1), dtype=bool), found[:, 1:] != found[:, :-1]), axis=1) if len(found) else np.empty((0, width), dtype=bool)
-                offsets = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([flat.field("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[keep]))], schema=columns)
+            lists = batch.column("shingles")
+            sizes = np.asarray(lists.value_lengths())
+            # a shorter set is filled with its last shingle: that leaves the least as they are
+            at = (np.cumsum(sizes) - sizes)[:, None] + np.minimum(np.arange(width), sizes[:, None] - 1)
+            found = paragraph_bands(lists.flatten().to_numpy()[at].view(np.uint64), bands, rows)
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * bands)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], schema=columns)
 
-    # the same way at every size: texts move once
-    return docs.select("rid", "text").join(per, "rid").select("text", "parts").mapInArrow(read, "node long, shingles array<long>")
+    return sets.mapInArrow(read, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
 
 
 def verifier(sets: DataFrame, similarity: float):
@@ -161,29 +278,30 @@ def verifier(sets: DataFrame, similarity: float):
 
 def classified(docs: DataFrame, scratch: Scratch, similarity: float, bands: int, rows: int) -> DataFrame:
     """The paragraphs whose class lies in several documents: rid, doc_id, seq, first_word, gap, class_id, class_size, first_rid (the class's first document)."""
-    units = scratch.save(find_paragraphs(docs, bands, rows), "paragraphs")
-    shared = units.select("k1", "k2", F.explode("bands").alias("band")).groupBy("band").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("k2").alias("c"), F.max("k2").alias("d")).where("a <> b OR c <> d")
-    shared = scratch.save(shared.select("band"), "shared")
-    nodes = units.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"), *[F.min(F.col("bands")[b]).alias(f"band{b}") for b in range(bands)])
-    # a paragraph that occurs once and shares no band has no class
-    listed = nodes.withColumn("band", F.explode(F.array(*[f"band{b}" for b in range(bands)]))).join(shared.withColumn("hit", F.lit(True)), "band", "left").where("n > 1 OR hit")
-    several = listed.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in ("low", "high", "n")], F.collect_set(F.when(F.col("hit"), F.col("band"))).alias("bands"))
+    plain = 10 / 13 < similarity <= 11 / 13 and bands <= SKETCH // 8
+    units = scratch.save(find_paragraphs(docs, bands, rows, plain), "paragraphs")
+    per = units.groupBy("k1", "k2").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("n"), F.min("marks").alias("marks"), F.min("sketch").alias("sketch"))
     # one number for each distinct paragraph
-    nodes = scratch.save(several.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = scratch.save(nodes.select("node", F.explode("bands").alias("band")), "members")
-    scratch.drop(shared)
-    wanted = units.join(nodes.where(F.size("bands") > 0).select("k1", "k2", "node", "low"), ["k1", "k2"]).where("rid = low").groupBy("rid", "node").agg(F.min("first_word").alias("first_word"))
-    sets = scratch.save(shingle_sets(docs, wanted), "shingles")
-    flat = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
-    label = classes(members, verifier(sets, similarity), lambda x: flat.join(x, "node", "left_semi"), similarity, scratch)
-    scratch.drop(sets)
-    known = scratch.save(nodes.drop("bands").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "known")
-    scratch.drop(nodes)
+    nodes = scratch.save(per.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sets = scratch.save(shingle_sets(units, nodes), "shingles")
+    if plain:
+        first = scratch.save(sets.groupBy("shingles").agg(F.min("node").alias("v"), F.min("sketch").alias("sketch")), "sets")
+        same = sets.join(first.select("shingles", "v"), "shingles").where("node <> v").select(F.col("node").alias("u"), "v")
+        met = linked(ends(nodes).unionByName(set_windows(first.withColumnRenamed("v", "node"), similarity)), bands, scratch)
+        label = components(met.unionByName(same), scratch)
+        scratch.drop(first, met)
+    else:
+        flat = sets.select("node", F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("weight"))
+        label = classes(colliding(set_bands(sets, bands, rows), scratch), verifier(sets, similarity), lambda x: flat.join(x, "node", "left_semi"), similarity, scratch)
+    # a paragraph of one document alone that is like no other has no class
+    known = nodes.join(label, "node", "left").where("low <> high OR label IS NOT NULL").select("k1", "k2", "low", "high", "n", F.coalesce("label", "node").alias("label"))
+    known = scratch.save(known, "known")
+    scratch.drop(sets, nodes)
     per = known.groupBy("label").agg(F.min("low").alias("first_rid"), F.max("high").alias("high"), F.sum("n").alias("class_size")).where("first_rid <> high")
     per = scratch.save(per.drop("high"), "per")
     several = scratch.save(known.select("k1", "k2", "label").join(per, "label").withColumnRenamed("label", "class_id"), "classes")
     scratch.drop(known, per)
-    out = scratch.save(units.drop("bands").join(several, ["k1", "k2"]).drop("k1", "k2"), "hits")
+    out = scratch.save(units.drop("marks", "sketch", "shingles").join(several, ["k1", "k2"]).drop("k1", "k2"), "hits")
     scratch.drop(units, several)
     return out
 
